@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorespark.llm import bpe, leakage, splitting
+from lorespark.llm import bpe, leakage, neighbours, reading, splitting
 from lorespark.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -70,3 +70,24 @@ def p7_found(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def p7_spans(spark: SparkSession, sf: str) -> DataFrame:
     return leakage.leaked_spans(table(spark, sf, "documents"), table(spark, sf, "eval_items"))
+
+
+# Problem 8
+
+
+@query()
+def p8_found(spark: SparkSession, sf: str) -> DataFrame:
+    return reading.reading_levels(table(spark, sf, "documents"), table(spark, sf, "reading_labels"))
+
+
+@query()
+def p8_profile(spark: SparkSession, sf: str) -> DataFrame:
+    return reading.reading_profile(table(spark, sf, "documents"), table(spark, sf, "reading_labels")).withColumns({c: F.round(c, 6) for c in ("bits", "share_1", "share_2", "share_3", "share_4")})
+
+
+# Problem 2
+
+
+@query()
+def p2_found(spark: SparkSession, sf: str) -> DataFrame:
+    return neighbours.similar_pairs(table(spark, sf, "vector_store"), table(spark, sf, "vector_manifest"))
