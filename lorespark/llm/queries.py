@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorespark.llm import bpe, leakage, neighbours, reading, splitting
+from lorespark.llm import bpe, leakage, neighbours, reading, splitting, syntax
 from lorespark.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -91,3 +91,21 @@ def p8_profile(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def p2_found(spark: SparkSession, sf: str) -> DataFrame:
     return neighbours.similar_pairs(table(spark, sf, "vector_store"), table(spark, sf, "vector_manifest"))
+
+
+# Problem 3
+
+
+@query()
+def p3_found(spark: SparkSession, sf: str) -> DataFrame:
+    return syntax.syntax_diagnostics(table(spark, sf, "graph_files")).select("workspace_id", "path").distinct()
+
+
+@query()
+def p3_diagnostics(spark: SparkSession, sf: str) -> DataFrame:
+    return syntax.syntax_diagnostics(table(spark, sf, "graph_files"))
+
+
+@query()
+def p3_rates(spark: SparkSession, sf: str) -> DataFrame:
+    return syntax.syntax_rates(table(spark, sf, "graph_files"))
