@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorespark.llm import bpe, leakage, neighbours, reading, splitting, syntax
+from lorespark.llm import bpe, leakage, neighbours, pii, reading, splitting, syntax
 from lorespark.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -109,3 +109,22 @@ def p3_diagnostics(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def p3_rates(spark: SparkSession, sf: str) -> DataFrame:
     return syntax.syntax_rates(table(spark, sf, "graph_files"))
+
+
+# Problem 1
+
+
+def _texts(spark: SparkSession, sf: str) -> DataFrame:
+    a = table(spark, sf, "documents").select(F.lit("documents").alias("tbl"), F.col("doc_id").alias("row_id"), "text")
+    return a.unionAll(table(spark, sf, "source_items").select(F.lit("source_items").alias("tbl"), F.col("item_id").alias("row_id"), "text"))
+
+
+@query()
+def p1_found(spark: SparkSession, sf: str) -> DataFrame:
+    return pii.find_mentions(_texts(spark, sf)).select("tbl", "row_id", "pii_type", "start_pos")
+
+
+@query()
+def p1_redacted(spark: SparkSession, sf: str) -> DataFrame:
+    texts = _texts(spark, sf)
+    return pii.redact(texts, pii.find_mentions(texts))
