@@ -80,6 +80,8 @@ STREET = re.compile(
     rf"|(?:Via|Viale|Piazza|Corso|Vicolo|Largo|Calle|Paseo|Avenida|Plaza|Camino|Carrera|Ronda)\s(?:[\w'’.]+\s){{1,4}}?\d{{1,4}}\b"
     rf"|(?:P\.?\s?O\.?\s?Box|Postfach|Casella\spostale|Apartado(?:\sde\scorreos)?|Boîte\spostale)\s\d+)"
 )
+# What may follow: flat, postal code and place.
+TAIL = re.compile(r"(?: [A-ZÀ-Þ][\w'’-]+(?=,))?(?:,\s(?:Apt\.?\s\w+|\d+\.º\s\w))?(?:(?:,\s|\n)(?:\d{5}\s[A-ZÀ-Þ][\w'’-]+|[A-ZÀ-Þ][\w'’-]+(?:\s\d{5})?))?")
 # Any of these stands in every address that STREET finds.
 STREET_WORDS = tuple("Lane Road Street Avenue Terrace Drive Close Court Crescent Square Boulevard Parkway St Ave Blvd Rd Ln Dr rue avenue chemin boulevard place allée quai impasse route square cours straße strasse str. weg gasse platz allee ring damm ufer steig".split()) + tuple("Am |An de|Auf de|Im |In de|Zum|Zur|Unter|Alte|Neue|Obere|Große|Kleine|Via|Piazza|Corso|Vicolo|Largo|Calle|Paseo|Avenida|Plaza|Camino|Carrera|Ronda|Box|Postfach|Casella|Apartado|Boîte".split("|"))
 STREET_QUICK = re.compile(r"\d (?:bis |ter |quater )?[A-Zracbpqi]|[a-zß.] \d{1,4}\b")
@@ -337,6 +339,8 @@ def candidates(text: str, given: frozenset, surnames: frozenset) -> list[tuple[s
                 continue
             before, after = text[max(0, a - 70) : a], text[b : b + 30]
             out.append(("ADDRESS", a, b, vote(1 if PLACE_WORDS.search(before) else 0, 1 if POSTCODE.match(after) else 0, -1 if CODE_NAME.match(after) or THING_WORDS.search(before) else 0, 1 if re.search(r"\d", m.group()) else -1)))
+            b = TAIL.match(text, b).end()
+            out[-1] = ("ADDRESS", a, b, out[-1][3])
             taken.append((a, b))
     words = set(re.findall(r"[^\W\d_]{3,}", plain(text)))
     if not surnames.isdisjoint(words) or not given.isdisjoint(words):
