@@ -23,7 +23,9 @@ import unicodedata
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
+import ahocorasick
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -61,30 +63,33 @@ THING_BEFORE = re.compile(r"\b(?:in|into|with|both|via|inside|see|use|restart|fu
 PERSON_AFTER = re.compile(r"^(?:\s*<|['’]s (?:badge|laptop|account|desk)|\s+(?:owns|said that|left the team|wants|said)\b|,? (?:tel|tél|phone)|,? [(（]?[+0(]\d|\s?[(（][\w.+-]+ ?[@＠(\[]|, the \w+ \w+ \w+ is back| \| )", re.I)
 PARTICLES = frozenset(("von", "van", "de", "di", "the", "and"))
 PAIR = re.compile(r"(?<![\w-])(?=([A-Z][a-zß-ÿ]{2,})(?: [A-Z]\.)? ((?:[vV]on )?(?:[OD]['’])?[A-Z][a-zß-ÿø]{2,}(?:-[A-Z][a-zß-ÿ]{2,})?)(?![\w-]))[A-Z]")
-# Words inside identifiers: scanFableAnchor, fable-anchor.
-CAMEL = re.compile(r"\b[a-z]+((?:[A-Z][a-z]{2,}){1,4})\b")
-LOWER = re.compile(r"(?<![\w@＠.+/'’-])[a-zß-ÿ]{2,}(?![\w＠@+/'’-]|\.\w)")
-HYPHENED = re.compile(r"(?<![\w@＠.+-])([a-z]{3,})-([a-z]{3,})(?![\w＠@.+-]|\s?[(\[{]\s?at\b)")
+# Words and identifiers; what goes on after a dot, a sign or an underscore is an address or a file name and says nothing.
+TOKEN = re.compile(r"[^\W\d_]+(?:-[^\W\d_]+)*(?:[@＠.+_]\w)?")
+CAMEL = re.compile(r"[a-z]+(?:[A-Z][a-z]{2,}){1,4}")
 
 _DOT = r"(?:[.．]|\s?[(\[{]\s?dot\s?[)\]}]\s?|\s+dot\s+)"
 _HOST = rf"[^\W_](?:[\w-]*[^\W_])?(?:{_DOT}[^\W_](?:[\w-]*[^\W_])?)+"
 EMAIL = re.compile(rf"(?<![\w@/.+-])([^\W_][\w.%+'-]*(?:\s+dot\s+[\w+-]+)*?)(\s?[@＠]\s?|\s?[(\[{{]\s?at\s?[)\]}}]\s?|\s+at\s+(?=[\w-]+\s+dot\s))({_HOST})", re.I)
 DIGITS = re.compile(r"(?<![\w.:/#-])(?:[+＋]\s?|\((?=\d{2,4}\)))?\d(?:[\d().\-/   ‑–]*\d)?(?![\w])")
-CODES = re.compile(r"(?<![\w-])(?:[A-Z]{6}\d{2}[A-Z]\d{2}[A-Z]\d{3}[A-Z]|[A-Z]{2}[ -]?\d{2}[ -]?\d{2}[ -]?\d{2}[ -]?[A-D]|[XYZKLM][ -]?\d{7}[ -]?[A-Z]|[A-Z]{1,2}\d{7,9}|\d{8}[ -]?[A-Z])(?![\w-])")
+CODES = (re.compile(r"[A-Z]{1,6}[ -]?\d[0-9A-Z -]{4,14}[0-9A-Z](?![\w-])"), re.compile(r"(?=\d{8})(?<!\d)\d{8}[ -]?[A-Z](?![\w-])"))
+CODE_SHAPES = re.compile(r"[A-Z]{6}\d{2}[A-Z]\d{2}[A-Z]\d{3}[A-Z]|[A-Z]{2}[ -]?\d{2}[ -]?\d{2}[ -]?\d{2}[ -]?[A-D]|[XYZKLM][ -]?\d{7}[ -]?[A-Z]|[A-Z]{1,2}\d{7,9}|\d{8}[ -]?[A-Z]")
 _NUMBER = r"\d{1,4}(?:\s?(?:bis|ter|quater)\b|[a-zA-Z]\b)?"
 _CAP = r"[A-ZÀ-Þ][\w'’.-]*"
-STREET = re.compile(
-    rf"(?<![\w-])(?:{_NUMBER},?\s(?:{_CAP}\s){{1,3}}(?:Lane|Road|Street|Avenue|Terrace|Drive|Close|Court|Crescent|Square|Boulevard|Parkway|(?:St|Ave|Blvd|Rd|Ln|Dr)\b\.?)"
-    rf"|(?P<f>{_NUMBER},?\s(?:rue|avenue|chemin|boulevard|place|allée|quai|impasse|route|square|cours)\s(?:de\sla\s|de\sl['’]|des\s|du\s|de\s|d['’])?{_CAP})"
-    rf"|(?:[A-ZÄÖÜ][\wäöüß-]*(?:straße|strasse|str\.|weg|gasse|platz|allee|ring|damm|ufer|steig)|(?:Am|An\sde[rn]|Auf\sde[rm]|Im|In\sde[rn]|Zum|Zur|Unter\sden|Alte[rs]?|Neue[rs]?|Obere|Untere|Große|Kleine)\s[A-ZÄÖÜ][\wäöüß-]+)\s\d{{1,4}}\s?[a-z]?\b"
-    rf"|(?:Via|Viale|Piazza|Corso|Vicolo|Largo|Calle|Paseo|Avenida|Plaza|Camino|Carrera|Ronda)\s(?:[\w'’.]+\s){{1,4}}?\d{{1,4}}\b"
-    rf"|(?:P\.?\s?O\.?\s?Box|Postfach|Casella\spostale|Apartado(?:\sde\scorreos)?|Boîte\spostale)\s\d+)"
+NUMBER_FIRST = re.compile(
+    rf"(?=\d)(?<![\w-])(?:{_NUMBER},?\s(?:{_CAP}\s){{1,3}}(?:Lane|Road|Street|Avenue|Terrace|Drive|Close|Court|Crescent|Square|Boulevard|Parkway|(?:St|Ave|Blvd|Rd|Ln|Dr)\b\.?)"
+    rf"|{_NUMBER},?\s(?:rue|avenue|chemin|boulevard|place|allée|quai|impasse|route|square|cours)\s(?:de\sla\s|de\sl['’]|des\s|du\s|de\s|d['’])?{_CAP})"
+)
+STREET_FIRST = re.compile(
+    r"(?<![\w-])(?:(?:[A-ZÄÖÜ][\wäöüß-]*(?:straße|strasse|str\.|weg|gasse|platz|allee|ring|damm|ufer|steig)|(?:Am|An\sde[rn]|Auf\sde[rm]|Im|In\sde[rn]|Zum|Zur|Unter\sden|Alte[rs]?|Neue[rs]?|Obere|Untere|Große|Kleine)\s[A-ZÄÖÜ][\wäöüß-]+)\s\d{1,4}\s?[a-z]?\b"
+    r"|(?:Via|Viale|Piazza|Corso|Vicolo|Largo|Calle|Paseo|Avenida|Plaza|Camino|Carrera|Ronda)\s(?:[\w'’.]+\s){1,4}?\d{1,4}\b"
+    r"|(?:P\.?\s?O\.?\s?Box|Postfach|Casella\spostale|Apartado(?:\sde\scorreos)?|Boîte\spostale)\s\d+)"
 )
 # What may follow: flat, postal code and place.
 TAIL = re.compile(r"(?: [A-ZÀ-Þ][\w'’-]+(?=,))?(?:,\s(?:Apt\.?\s\w+|\d+\.º\s\w))?(?:(?:,\s|\n)(?:\d{5}\s[A-ZÀ-Þ][\w'’-]+|[A-ZÀ-Þ][\w'’-]+(?:\s\d{5})?))?")
-# Any of these stands in every address that STREET finds.
-STREET_WORDS = tuple("Lane Road Street Avenue Terrace Drive Close Court Crescent Square Boulevard Parkway St Ave Blvd Rd Ln Dr rue avenue chemin boulevard place allée quai impasse route square cours straße strasse str. weg gasse platz allee ring damm ufer steig".split()) + tuple("Am |An de|Auf de|Im |In de|Zum|Zur|Unter|Alte|Neue|Obere|Große|Kleine|Via|Piazza|Corso|Vicolo|Largo|Calle|Paseo|Avenida|Plaza|Camino|Carrera|Ronda|Box|Postfach|Casella|Apartado|Boîte".split("|"))
-STREET_QUICK = re.compile(r"\d (?:bis |ter |quater )?[A-Zracbpqi]|[a-zß.] \d{1,4}\b")
+# The street words of NUMBER_FIRST; and words of which one stands in everything that STREET_FIRST finds.
+STREET_WORDS = frozenset("Lane Road Street Avenue Terrace Drive Close Court Crescent Square Boulevard Parkway St Ave Blvd Rd Ln Dr".split())
+STREET_STARTS = tuple("straße|strasse|str. |weg |gasse |platz |allee |ring |damm |ufer |steig |Am |An de|Auf de|Im |In de|Zu|Unter|Alte|Neue|Obere|Große|Kleine|Via|Piazza|Corso|Vicolo|Largo|Calle|Paseo|Avenida|Plaza|Camino|Carrera|Ronda|Box |Postfach|Casella|Apartado|Boîte".split("|"))
+STREET_QUICK = re.compile(r"[a-zß.x] \d{1,4}\b")
 POSTCODE = re.compile(r"^[,\s]{0,3}(?:[^\n,]{0,12},\s)?(?:\d{5}\b|[A-ZÀ-Þ][\w'’-]+(?: [A-Z]\w+)?(?:\s\d{5}\b|[.,\n]|\s))")
 WORD = re.compile(r"(?:[OoDd]['’])?[^\W\d_]+(?:[-][^\W\d_]+)*")
 NOT_PHONE = re.compile(r"\d{4}-\d{2}-\d{2}|(?:\d{1,3}\.){3}\d{1,3}$|\d{1,2}[./]\d{1,2}[./]\d{4}$|\d{4}\.\d|\d+[.,]\d+$")
@@ -131,13 +136,20 @@ def name_pairs(text: str) -> Iterator[tuple[str, str, str]]:
         )
 
 
-def code_words(text: str) -> Iterator[str]:
-    """The words that identifiers of a text are made of."""
-    for m in CAMEL.finditer(text):
-        yield from (w.lower() for w in re.findall(r"[A-Z][a-z]+", m.group(1)))
-    if "-" in text:
-        for m in HYPHENED.finditer(text):
-            yield from m.groups()
+def word_uses(tokens: Counter) -> Counter:
+    """Counts of (word, use): a part of an identifier such as fable-anchor or scanFableAnchor, or an ordinary lower-case word."""
+    uses: Counter = Counter()
+    for t, n in tokens.items():
+        if not t[0].islower() or not t.isascii() and not t.isalpha() or t[-2:-1] in ("@", "＠", ".", "+", "_"):
+            continue
+        if t.islower():
+            parts = t.split("-")
+            for w in parts:
+                uses[w, "lower" if len(parts) == 1 else "code"] += n
+        elif CAMEL.fullmatch(t):
+            for w in re.findall(r"[A-Z][a-z]+", t):
+                uses[w.lower(), "code"] += n
+    return uses
 
 
 def em(patterns: dict[str, float], rounds: int = 60) -> dict[str, float]:
@@ -177,11 +189,12 @@ def learn_lexicon(texts: DataFrame) -> tuple[frozenset[str], frozenset[str]]:
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             seen: Counter = Counter()
+            tokens: Counter = Counter()
             for t in f["text"]:
                 seen.update(name_pairs(t))
-                seen.update((w, "code", "") for w in code_words(t))
-                seen.update((w, "lower", "") for w in set(LOWER.findall(t)))
-            yield pd.DataFrame([(a, b, v, n) for (a, b, v), n in seen.items()], columns=["first", "last", "votes", "n"])
+                tokens.update(TOKEN.findall(t))
+            rows = [(a, b, v, n) for (a, b, v), n in seen.items()] + [(w, use, "", n) for (w, use), n in word_uses(tokens).items()]
+            yield pd.DataFrame(rows, columns=["first", "last", "votes", "n"])
 
     counted = kept(texts.select("text").mapInPandas(count, "first string, last string, votes string, n bigint").groupBy("first", "last", "votes").agg(F.sum("n").alias("n")))
     pairs = counted.where("votes <> ''").withColumn("word", F.element_at(F.split("last", "-"), -1))
@@ -214,19 +227,16 @@ def learn_lexicon(texts: DataFrame) -> tuple[frozenset[str], frozenset[str]]:
 # 2. Candidates
 
 
-def _names(text: str, given: frozenset, surnames: frozenset, taken: list[tuple[int, int]]) -> Iterator[tuple]:
+def _names(text: str, flag: Flags, taken: list[tuple[int, int]]) -> Iterator[tuple]:
     """Given name or initial with a surname, in either order, in any case."""
     tokens = [(m.group(), m.start(), m.end()) for m in WORD.finditer(text)]
     n = len(tokens)
-    flags = []
-    for w, _, _ in tokens:
-        k = plain(w)
-        flags.append((k in given, any(p in surnames for p in surname_parts(w))))
+    flags = [flag[w] for w, _, _ in tokens]
     used = -1
     for i, (w, a, b) in enumerate(tokens):
-        if a < used:
-            continue
         is_given, is_surname = flags[i]
+        if a < used or not (is_given or is_surname or len(w) == 1 or w in ("von", "Von", "VON")):
+            continue
         initial = len(w) == 1 and w.isupper() and text[b : b + 1] == "."
         last = None
         kind = 0
@@ -276,8 +286,29 @@ def _names(text: str, given: frozenset, surnames: frozenset, taken: list[tuple[i
         )
 
 
-def candidates(text: str, given: frozenset, surnames: frozenset) -> list[tuple[str, int, int, str]]:
+class Flags(dict):
+    """word -> (is a given name, is a surname), remembered."""
+
+    def __init__(self, given: frozenset, surnames: frozenset):
+        self.given, self.surnames = given, surnames
+        # a name needs a surname in any case, or a given name in capitals
+        self.automaton = ahocorasick.Automaton()
+        for w in {f(w) for w in surnames for f in (str, str.title, str.upper)} | {f(w) for w in given for f in (str.title, str.upper)}:
+            self.automaton.add_word(w, "name")
+        for w in STREET_STARTS:
+            self.automaton.add_word(w, "street")
+        self.automaton.make_automaton()
+
+    def __missing__(self, word: str) -> tuple[bool, bool]:
+        out = plain(word) in self.given, any(p in self.surnames for p in surname_parts(word))
+        if len(self) < 500_000:
+            self[word] = out
+        return out
+
+
+def candidates(text: str, flag: Flags) -> list[tuple[str, int, int, str]]:
     """(type, start, end, votes) of everything in a text that may be personal."""
+    hints = {kind for _, kind in flag.automaton.iter(text)}
     out: list[tuple[str, int, int, str]] = []
     taken: list[tuple[int, int]] = []
     lowered = text.lower()
@@ -306,7 +337,10 @@ def candidates(text: str, given: frozenset, surnames: frozenset) -> list[tuple[s
                 )
             )
             taken.append((a, b))
-    for m in CODES.finditer(text):
+    for m in chain(*(c.finditer(text) for c in CODES)):
+        m = CODE_SHAPES.match(text, m.start()) if not re.match(r"[\w-]", text[m.start() - 1 : m.start()] if m.start() else "") else None
+        if not m or re.match(r"[\w-]", text[m.end() : m.end() + 1]):
+            continue
         a, b = m.span()
         if any(a < e and s < b for s, e in taken):
             continue
@@ -332,8 +366,11 @@ def candidates(text: str, given: frozenset, surnames: frozenset) -> list[tuple[s
         out.append(("PHONE", a, b, vote(1 if phone_said and not id_said else -1 if id_said or thing else 0, 1 if prefix else 0, 1 if national or prefix else -1, -1 if dated or re.match(r"[-_.]?\w", after) else 0, 1 if 9 <= n <= 13 else -1, -1 if id_shape else 0)))
         out.append(("ID", a, b, vote(1 if id_said else -1 if thing or phone_said else 0, 1 if id_shape else -1, -1 if prefix or dated else 0, -1 if re.match(r"[-_.]?\w", after) else 1)))
         taken.append((a, b))
-    if STREET_QUICK.search(text) and any(w in text for w in STREET_WORDS):
-        for m in STREET.finditer(text):
+    searched = [NUMBER_FIRST]
+    if "street" in hints and STREET_QUICK.search(text):
+        searched.append(STREET_FIRST)
+    for expression in searched:
+        for m in expression.finditer(text):
             a, b = m.span()
             if any(a < e and s < b for s, e in taken):
                 continue
@@ -342,9 +379,8 @@ def candidates(text: str, given: frozenset, surnames: frozenset) -> list[tuple[s
             b = TAIL.match(text, b).end()
             out[-1] = ("ADDRESS", a, b, out[-1][3])
             taken.append((a, b))
-    words = set(re.findall(r"[^\W\d_]{3,}", plain(text)))
-    if not surnames.isdisjoint(words) or not given.isdisjoint(words):
-        out += _names(text, given, surnames, taken)
+    if "name" in hints:
+        out += _names(text, flag, taken)
     return out
 
 
@@ -400,11 +436,11 @@ def find_mentions(texts: DataFrame, trained_on: int = TRAINED_ON) -> DataFrame:
     lexicon = spark.sparkContext.broadcast(learn_lexicon(texts))
 
     def propose(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        given, surnames = lexicon.value
+        flag = Flags(*lexicon.value)
         for f in frames:
             rows = []
             for tbl, row, t in zip(f["tbl"], f["row_id"], f["text"]):
-                for kind, a, b, v in candidates(t, given, surnames):
+                for kind, a, b, v in candidates(t, flag):
                     rows.append((tbl, row, kind, a, b, v, t[a:b][:80], t[max(0, a - 24) : a], t[b : b + 12]))
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in _CANDIDATE.split(", ")])
 
