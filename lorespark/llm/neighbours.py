@@ -22,6 +22,7 @@ from math import ceil, log2
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,7 +30,7 @@ from lorespark.sources.shared import kept
 
 K = 5
 #: Rows from which the borders are fitted, over all spaces; the index itself holds every row.
-SAMPLE = 40_000
+SAMPLE = 20_000
 TREES, PROBES, LEAF = 8, 16, 256
 #: A leaf of more rows than this in one role is cut into blocks.
 BLOCK = 4_096
@@ -104,24 +105,44 @@ def similarities(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def _best_in_group(group: pd.DataFrame, k: int, least: float) -> pd.DataFrame:
     """Of a leaf (or a cell of it): the k nearest members of each searching row, by similarity, then id."""
-    vectors = np.array(group["vector"].tolist(), dtype=np.int8)
+    vectors = unpacked(group["vector"])
     ids = group["class"].to_numpy()
     is_member = group["member"].to_numpy()
     members, seekers = np.flatnonzero(is_member), np.flatnonzero(group["seeks"].to_numpy())
-    out: list[tuple] = []
     members = members[np.argsort(ids[members], kind="stable")]
-    space = group["space"].iloc[0]
     names = ids[members]
+    place = {name: k for k, name in enumerate(names)}
+    parts = []
     for start in range(0, len(seekers), 1024):
         mine = seekers[start : start + 1024]
         s = similarities(vectors[mine], vectors[members])
-        s[ids[mine][:, None] == names[None, :]] = -2
-        order = np.argsort(-s, axis=1, kind="stable")[:, :k]
-        for row, cols in zip(range(len(mine)), order):
-            for c in cols:
-                if s[row, c] >= least and s[row, c] > -2:
-                    out.append((space, ids[mine[row]], names[c], s[row, c]))
-    return pd.DataFrame(out, columns=["space", "class", "other", "similarity"])
+        for row, i in enumerate(mine):
+            if (own := place.get(ids[i])) is not None:
+                s[row, own] = -2
+        width = min(k, len(members))
+        # all that reach the k-th highest value, then in order of value and id
+        floor = np.partition(s, len(members) - width, axis=1)[:, len(members) - width][:, None] if width else s[:, :0]
+        rows, cols = np.nonzero((s >= np.maximum(floor, max(least, -1.5)))) if width else (np.zeros(0, int), np.zeros(0, int))
+        order = np.lexsort((cols, -s[rows, cols], rows))
+        rows, cols = rows[order], cols[order]
+        nth = np.arange(len(rows)) - np.searchsorted(rows, rows)
+        keep = nth < k
+        rows, cols = rows[keep], cols[keep]
+        parts.append(pd.DataFrame({"space": group["space"].iloc[0], "class": ids[mine[rows]], "other": names[cols], "similarity": s[rows, cols]}))
+    return pd.concat(parts) if parts else pd.DataFrame({"space": [], "class": [], "other": [], "similarity": np.zeros(0)})
+
+
+def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Vectors as bytes, which move and compare as one value and are read in bulk."""
+    for batch in batches:
+        lists = batch.column(2)
+        values, at = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([values[a:b].tobytes() for a, b in zip(at[:-1], at[1:])], pa.binary())], names=["space", "chunk_id", "vector"])
+
+
+def unpacked(vectors) -> np.ndarray:
+    """A row of numbers for each value of a column of equally long packed vectors."""
+    return np.frombuffer(b"".join(vectors), np.int8).reshape(len(vectors), -1)
 
 
 def vector_classes(vectors: DataFrame, spaces: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -136,6 +157,7 @@ def vector_classes(vectors: DataFrame, spaces: DataFrame) -> tuple[DataFrame, Da
         .join(dims, ["model_id", "model_revision"])
         .where("size(vector) = dims and exists(vector, x -> x <> 0) and not exists(vector, x -> x is null)")
         .select(F.concat_ws("\x1f", "model_id", "model_revision").alias("space"), "chunk_id", "vector")
+        .mapInArrow(packed, "space string, chunk_id string, vector binary")
         .distinct()
     )
     named = sound.groupBy("space", "vector").agg(F.min("chunk_id").alias("class"))
@@ -150,10 +172,10 @@ def search(named: DataFrame, k: int = K, least: float = -1.0, trees: int = TREES
     total = sum(sizes.values())
     share = min(1.0, sample / max(1, total))
     picked = named.where(F.pmod(F.xxhash64("class"), F.lit(1_000_000)) < int(share * 1_000_000)) if share < 1 else named
-    rows = picked.select("space", "class", "vector").limit(2 * sample).toPandas()
-    forests = {}
-    for space, own in rows.sort_values("class").groupby("space"):
-        forests[space] = Forest(np.array(own["vector"].tolist(), np.float32), sizes[space], trees, leaf)
+    rows: dict[str, list] = {}
+    for r in picked.select("space", "class", "vector").limit(2 * sample).collect():
+        rows.setdefault(r[0], []).append((r[1], bytes(r[2])))
+    forests = {space: Forest(unpacked([v for _, v in sorted(own)]).astype(np.float32), sizes[space], trees, leaf) for space, own in rows.items()}
     shared = spark.sparkContext.broadcast(forests)
 
     def route(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -165,7 +187,7 @@ def search(named: DataFrame, k: int = K, least: float = -1.0, trees: int = TREES
                     if forest is None:  # a space so small that the sample missed it is one leaf
                         yield part.assign(tree=0, leaf=0, member=True, seeks=True)[COLUMNS]
                         continue
-                    at = forest.project(np.array(part["vector"].tolist(), np.float32))
+                    at = forest.project(unpacked(part["vector"]).astype(np.float32))
                     leaves = forest.own(at).tolist()
                     take, tree, node, member, seeks = [], [], [], [], []
                     for i, near in enumerate(at.tolist()):
@@ -176,7 +198,7 @@ def search(named: DataFrame, k: int = K, least: float = -1.0, trees: int = TREES
                         seeks += [True] * len(visits) + [False] * (len(take) - len(seeks) - len(visits))
                     yield part.iloc[take].assign(tree=tree, leaf=node, member=member, seeks=seeks)[COLUMNS]
 
-    routed = named.select("space", "class", "vector").mapInPandas(route, "space string, tree int, leaf bigint, class string, vector array<tinyint>, member boolean, seeks boolean")
+    routed = named.select("space", "class", "vector").mapInPandas(route, "space string, tree int, leaf bigint, class string, vector binary, member boolean, seeks boolean")
     grid = (
         routed.groupBy("space", "tree", "leaf")
         .agg(F.ceil(F.count_if("member") / BLOCK).cast("int").alias("rows"), F.ceil(F.count_if("seeks") / BLOCK).cast("int").alias("cols"))
