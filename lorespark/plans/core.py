@@ -1,6 +1,6 @@
 """All queries outside the llm package."""
 
-from lorespark.plans import snapshots  # noqa: F401
+from lorespark.plans import graphs, retrieval, snapshots  # noqa: F401
 from lorespark.plans.registry import ORACLES, QUERIES  # noqa: F401
 
-FLAGSHIP = "p4_found"
+FLAGSHIP = "rrf_fusion"
