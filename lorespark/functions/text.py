@@ -26,14 +26,14 @@ def trigrams(text: Column) -> Column:
 
 def estimated_tokens(text: Column) -> Column:
     """1.3 times the words and single symbols, rounded up."""
-    return F.ceil(F.lit(1.3) * F.regexp_count(text, F.lit(r"[\p{L}\p{N}_]+|[^\p{Z}\t\n\x0b\f\r\p{L}\p{N}_]"))).cast("int")
+    return F.ceil(F.lit(1.3) * F.regexp_count(text, F.lit(r"[\p{L}\p{N}]+|[^\p{Z}\t\n\x0b\f\r\p{L}\p{N}]"))).cast("int")
 
 
 # Languages by extension.
 LANGUAGES = {
-    "js": "javascript", "mjs": "javascript", "cjs": "javascript", "jsx": "javascript", "ts": "typescript", "mts": "typescript", "cts": "typescript", "tsx": "typescript",
-    "py": "python", "go": "go", "rs": "rust", "java": "java", "kt": "kotlin", "cs": "csharp", "c": "c", "h": "c", "cc": "cpp", "cpp": "cpp", "hpp": "cpp", "rb": "ruby", "php": "php", "swift": "swift",
-    "sh": "shell", "bash": "shell", "yml": "yaml", "yaml": "yaml", "toml": "toml", "json": "json", "md": "markdown",
+    "ts": "typescript", "tsx": "typescript", "mts": "typescript", "cts": "typescript", "js": "javascript", "jsx": "javascript", "mjs": "javascript", "cjs": "javascript",
+    "py": "python", "go": "go", "rs": "rust", "java": "java", "kt": "kotlin", "kts": "kotlin", "cs": "csharp", "c": "c", "h": "c", "cc": "cpp", "cpp": "cpp", "cxx": "cpp", "hpp": "cpp",
+    "rb": "ruby", "php": "php", "sh": "shell", "bash": "shell", "zsh": "shell", "md": "markdown", "mdx": "markdown", "json": "json", "yaml": "yaml", "yml": "yaml", "toml": "toml",
 }
 
 
@@ -47,10 +47,11 @@ def language(path: Column) -> Column:
 EXCLUDED = (".git", "node_modules", "vendor", "dist", "build", "coverage")
 
 
-def excluded(path: Column) -> Column:
-    """Build output, dependencies, generated and minified files."""
+def excluded(path: Column, at_root: tuple[str, ...] = ()) -> Column:
+    """Build output, dependencies, generated and minified files; ``at_root`` names directories that only count at the top."""
     parts = F.split(path, "/")
-    return F.arrays_overlap(parts, F.array(*map(F.lit, EXCLUDED))) | F.element_at(parts, -1).rlike(r"(^|[._-])(generated|min)\.") | path.endswith(".map")
+    out = F.arrays_overlap(parts, F.array(*map(F.lit, EXCLUDED))) | F.element_at(parts, -1).rlike(r"(?i)(?:^|[._-])(generated|min)\.") | path.rlike(r"(?i)\.map$")
+    return out | F.element_at(parts, 1).isin(*at_root) if at_root else out
 
 
 def is_relative(path: Column) -> Column:
@@ -61,15 +62,18 @@ def is_relative(path: Column) -> Column:
 # Secrets and their placeholders, applied in this order. Borders are ASCII, spelled out because Java's \b isn't.
 _B, _E = r"(?<![A-Za-z0-9_])", r"(?![A-Za-z0-9_])"
 REDACTIONS = (
-    (r"-----BEGIN [A-Z ]*PRIVATE KEY-----[\s\S]*?-----END [A-Z ]*PRIVATE KEY-----", "[REDACTED PRIVATE KEY]"),
-    (rf"(?i){_B}bearer\s+[A-Za-z0-9._~+/=-]+", "Bearer [REDACTED]"),
-    (rf"(?i){_B}(api[_-]?key|access[_-]?token|auth[_-]?token|secret|password|passwd|token)\s*[:=]\s*[^\s,;]+", "$1=[REDACTED]"),
-    (rf"{_B}gh[pousr]_[A-Za-z0-9]{{20,}}{_E}", "[REDACTED TOKEN]"),
-    (rf"{_B}xox[abprs]-[A-Za-z0-9-]{{10,}}", "[REDACTED TOKEN]"),
-    (rf"{_B}AKIA[0-9A-Z]{{16}}{_E}", "[REDACTED KEY]"),
-    (rf"{_B}sk-[A-Za-z0-9_-]{{16,}}", "[REDACTED KEY]"),
-    (rf"{_B}eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", "[REDACTED JWT]"),
+    (r"(?i)-----BEGIN [A-Z0-9 ]*PRIVATE KEY-----[\s\S]*?-----END [A-Z0-9 ]*PRIVATE KEY-----", "[REDACTED]"),
+    (rf"(?i){_B}(?:proxy-)?authorization\s*[:=]\s*(?:bearer|basic)?\s*[A-Za-z0-9._~+/=-]{{8,}}", "authorization: [REDACTED]"),
+    (rf"(?i){_B}bearer\s+[A-Za-z0-9._~+/=-]{{8,}}", "Bearer [REDACTED]"),
+    (rf"(?i){_B}(?:api[_-]?key|access[_-]?token|refresh[_-]?token|auth[_-]?token|client[_-]?secret|password|passwd|private[_-]?key|secret|token)\s*[:=]\s*[\"']?[A-Za-z0-9._~+/=-]{{8,}}[\"']?", "[REDACTED]"),
+    (rf"(?i){_B}xox[baprs]-[A-Za-z0-9-]{{10,}}{_E}", "[REDACTED]"),
+    (rf"{_B}sk-(?:proj-)?[A-Za-z0-9_-]{{12,}}{_E}", "[REDACTED]"),
+    (rf"{_B}gh[pousr]_[A-Za-z0-9]{{20,}}{_E}", "[REDACTED]"),
+    (rf"{_B}eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+{_E}", "[REDACTED]"),
+    (rf"(?i){_B}(https?://)[^\s/@:]+:[^\s/@]+@", "$1[REDACTED]@"),
 )
+# Fixed value: names of fields that hold secrets, in snake case between underscores.
+SENSITIVE_KEY = r"(?:^|[_-])(?:authorization|api[_-]?key|access[_-]?token|refresh[_-]?token|auth[_-]?token|client[_-]?secret|password|passwd|private[_-]?key|secret|token)(?:$|[_-])"
 
 
 def redacted(text: Column) -> Column:
@@ -84,8 +88,7 @@ def sensitive(text: Column) -> Column:
 
 def sensitive_key(key: Column) -> Column:
     """Whether a field's name, in snake or camel case, announces a secret."""
-    snake = F.lower(F.regexp_replace(key, "([a-z0-9])([A-Z])", "$1_$2"))
-    return snake.rlike(r"(^|[_.-])(api[_-]?key|secret|password|passwd|token|authorization|cookie|credential|private[_-]?key)s?($|[_.-])")
+    return F.lower(F.regexp_replace(key, "([a-z0-9])([A-Z])", "$1_$2")).rlike(SENSITIVE_KEY)
 
 
 def redacted_map(values: Column) -> Column:

@@ -36,7 +36,7 @@ def legal(kind: Column, confidence: Column) -> Column:
     return (
         F.when(kind.isin(*SCANNER_EDGES), confidence.isin("exact", "resolved", "heuristic"))
         .when(kind.isin(*AGENT_EDGES), confidence.isin("extracted", "inferred", "ambiguous"))
-        .when(kind == "member-of", confidence == "inferred")
+        .when(kind == "member-of", confidence == "exact")
         .otherwise(False)
     )
 
@@ -126,21 +126,25 @@ def ranked_candidates(nodes: DataFrame, edges: DataFrame, query: str, limit: int
     """(id, score) of nodes that hold every word of the query in name, path or scope.
 
     With ``seeded`` at least one node in all must have a word of the query as a whole word, and only nodes that have one
-    count; without, any substring does. Exact names rank first, then names that begin with the query, then those that
-    hold it; every word adds 100 and edges up to 50. Degrees are only counted for the nodes that match.
+    count; without, any substring does. The score adds 1000 for a name or path that is the query, 900 for a qualified name
+    that is, 500 for one that begins with it, 100 for every word and up to 50 for edges. Degrees are only counted for the
+    nodes that match.
     """
     q = query.strip().lower()
     words = nodes.sparkSession.range(1).select(ascii_words(F.lit(query))).first()[0]
     if not words:
         raise ValueError("an empty query")
     name, path = F.lower("name"), F.lower("path")
-    hay = F.concat_ws(" ", name, path)
+    scope = F.coalesce("scope", F.lit("")) if "scope" in nodes.columns else F.lit("")
+    full = F.regexp_replace(F.concat(F.lower(scope), F.lit("."), name), r"^\.", "")
+    hay = F.concat_ws("\n", name, path, full)
     found = nodes
     if seeded:
         found = found.where(F.arrays_overlap(ascii_words(F.concat_ws(" ", "name", "path")), F.array(*map(F.lit, words))))
     for w in words:
         found = found.where(F.instr(hay, w) > 0)
-    bonus = F.when(name == q, 1000).when(F.startswith(name, F.lit(q)), 900).when(F.instr(name, q) > 0, 500).otherwise(0)
+    one = lambda test, n: F.when(test, n).otherwise(0)
+    bonus = one((name == q) | (path == q), 1000) + one(full == q, 900) + one(F.startswith(full, F.lit(q)), 500)
     found = found.select("id", bonus.alias("_b"))
     degree = degrees(edges.join(found.select(F.col("id").alias("from_id")), "from_id", "left_semi").unionByName(edges.join(found.select(F.col("id").alias("to_id")), "to_id", "left_semi")).distinct())
     score = F.col("_b") + 100 * len(words) + F.least(F.coalesce("degree", F.lit(0)), F.lit(50))
@@ -219,11 +223,11 @@ def flows(nodes: DataFrame, edges: DataFrame, kind: str = "imports") -> DataFram
 
 
 def surprising(nodes: DataFrame, edges: DataFrame, limit: int) -> DataFrame:
-    """(id, from_plane, to_plane, confidence): edges across planes, concept and code first, then the least certain."""
+    """(id, from_plane, to_plane, confidence): edges across planes, concept and code first, then the most certain."""
     a, b = (nodes.select(F.col("id").alias(f"{s}_id"), plane(F.col("kind")).alias(f"{s}_plane")) for s in ("from", "to"))
     crossing = edges.where(~F.col("kind").isin("member-of", "contains")).join(a, "from_id").join(b, "to_id").where("from_plane <> to_plane")
     pair = F.array_sort(F.array("from_plane", "to_plane")) == F.array(F.lit("code"), F.lit("concept"))
-    return crossing.orderBy(F.when(pair, 0).otherwise(1), weight(F.col("confidence")), "id").limit(limit).select("id", "from_plane", "to_plane", "confidence")
+    return crossing.orderBy(F.when(pair, 0).otherwise(1), F.desc(weight(F.col("confidence"))), "id").limit(limit).select("id", "from_plane", "to_plane", "confidence")
 
 
 def coverage(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -252,7 +256,7 @@ def merge(nodes: DataFrame, edges: DataFrame, new_nodes: DataFrame, new_edges: D
 
 def member_edges(membership: DataFrame) -> DataFrame:
     """Edges from nodes to the leaders of their communities (node_id, community_id)."""
-    kind, label = F.lit("member-of"), F.lit("inferred")
+    kind, label = F.lit("member-of"), F.lit("exact")
     return membership.select(edge_id(kind, F.col("node_id"), F.col("community_id"), label).alias("id"), kind.alias("kind"), F.col("node_id").alias("from_id"), F.col("community_id").alias("to_id"), label.alias("confidence"))
 
 
@@ -274,8 +278,9 @@ def community_summary(nodes: DataFrame, membership: DataFrame, most: int = 200,
 
 def questions(gods: DataFrame, communities: DataFrame) -> DataFrame:
     """(question) about the three nodes with most edges (name, degree) and the three largest communities of more than one member."""
-    a = gods.orderBy(F.desc("degree"), "id").limit(3).select(F.format_string("What depends on %s, and why does it have %d connections?", "name", "degree").alias("question"))
-    b = communities.where("members > 1").orderBy(F.desc("members"), "community_id").limit(3).select(F.format_string("What ties together the %d members around %s?", "members", F.array_join("top_terms", ", ")).alias("question"))
+    terms = F.coalesce(F.nullif(F.array_join("top_terms", ", "), F.lit("")), F.lit("no shared terms"))
+    a = gods.orderBy(F.desc("degree"), "id").limit(3).select(F.format_string("What depends on %s (%s), and what would break if it changed?", "name", "path").alias("question"))
+    b = communities.orderBy(F.desc("members"), "community_id").limit(3).where("members > 1").select(F.format_string('What is the shared purpose of the %d nodes in community "%s" (top terms: %s)?', "members", "community_id", terms).alias("question"))
     return a.union(b)
 
 

@@ -33,7 +33,7 @@ def blocks(pages: DataFrame, key: str, content: str) -> DataFrame:
         fresh = F.struct(x["line"].alias("start_line"), x["line"].alias("end_line"), x["text"].alias("text"))
         last = F.element_at(acc["blocks"], -1)
         longer = F.struct(last["start_line"].alias("start_line"), x["line"].alias("end_line"), F.concat_ws("\n", last["text"], x["text"]).alias("text"))
-        grown = F.when(acc["open"] & ~x["text"].rlike(r"^#{1,6}\s"), F.concat(F.slice(acc["blocks"], F.lit(1), F.size(acc["blocks"]) - 1), F.array(longer))).otherwise(F.concat(acc["blocks"], F.array(fresh)))
+        grown = F.when(acc["open"] & ~x["text"].rlike(r"^#{1,6}\s+\S"), F.concat(F.slice(acc["blocks"], F.lit(1), F.size(acc["blocks"]) - 1), F.array(longer))).otherwise(F.concat(acc["blocks"], F.array(fresh)))
         return F.struct(F.when(blank(x["text"]), acc["blocks"]).otherwise(grown).alias("blocks"), (~blank(x["text"])).alias("open"))
 
     folded = F.aggregate(numbered, F.struct(empty.alias("blocks"), F.lit(False).alias("open")), add)["blocks"]
@@ -43,9 +43,11 @@ def blocks(pages: DataFrame, key: str, content: str) -> DataFrame:
 def chunk_pages(pages: DataFrame, key: str, content: str, least: int = LEAST, most: int = MOST) -> DataFrame:
     """(key, start_line, end_line, tokens): blocks packed into chunks.
 
-    A chunk is closed when it has ``least`` tokens and the next block would take it beyond ``most``, or when it has
-    ``most``. Blocks are gathered by page: their number is bounded by a page's length.
+    A chunk is closed when it has ``least`` tokens and the next block would take it beyond ``most``; it then reaches to the
+    line before that block. It is closed at its own end when it has ``most``; the last one reaches to the page's last line.
+    Blocks are gathered by page: their number is bounded by a page's length.
     """
+    last_line = pages.where(F.col(content).isNotNull()).select(key, F.size(F.split(content, r"\r?\n", -1)).alias("_n"))
     gathered = blocks(pages, key, content).groupBy(key).agg(F.array_sort(F.collect_list(F.struct("start_line", "end_line", "tokens"))).alias("bs"))
     empty = F.array().cast("array<struct<start_line:int,end_line:int,tokens:int>>")
 
@@ -55,7 +57,11 @@ def chunk_pages(pages: DataFrame, key: str, content: str, least: int = LEAST, mo
         merged = F.struct(last["start_line"].alias("start_line"), x["end_line"].alias("end_line"), (last["tokens"] + x["tokens"]).alias("tokens"))
         return F.when(closes, F.concat(acc, F.array(x))).otherwise(F.concat(F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0))), F.array(merged)))
 
-    return gathered.select(key, F.explode(F.aggregate("bs", empty, add)).alias("c")).select(key, "c.start_line", "c.end_line", "c.tokens")
+    packed = gathered.select(key, F.aggregate("bs", empty, add).alias("cs")).join(last_line, key)
+    each = packed.select(key, "_n", F.posexplode("cs").alias("i", "c"), "cs")
+    after = F.try_element_at("cs", (F.col("i") + 2).cast("int"))["start_line"]
+    end = F.when(F.col("c.tokens") >= most, F.col("c.end_line")).otherwise(F.coalesce(after - 1, F.col("_n")))
+    return each.select(key, "c.start_line", end.alias("end_line"), "c.tokens")
 
 
 def links(pages: DataFrame, key: str, content: str) -> DataFrame:
@@ -82,13 +88,18 @@ def page_violations(nodes: DataFrame, edges: DataFrame, kind: str = "mentions")
 
 
 def symbol_chunks(nodes: DataFrame) -> DataFrame:
-    """(id, text): one chunk of metadata a symbol, without its source."""
-    return nodes.where("kind = 'symbol'").select("id", F.format_string("symbol %s (%s) — %s", "name", "kind", "path").alias("text"))
+    """(id, text): one chunk of metadata a symbol, without its source: its qualified name, kind, path and line where known."""
+    have = lambda c: F.col(c) if c in nodes.columns else F.lit(None)
+    scope = F.coalesce(F.concat(F.nullif(have("scope").cast("string"), F.lit("")), F.lit(".")), F.lit(""))
+    label = F.coalesce(F.concat(F.lit(" ("), have("symbol_kind").cast("string"), F.lit(")")), F.lit(""))
+    line = have("start_line").cast("string")
+    lines = F.coalesce(F.concat(F.lit(":"), line, F.lit("-"), F.coalesce(have("end_line").cast("string"), line)), F.lit(""))
+    return nodes.where("kind = 'symbol'").select("id", F.concat("kind", F.lit(" "), scope, "name", label, F.lit(" — "), "path", lines).alias("text"))
 
 
 def block_numbers(lines: DataFrame, key: str, line: str, text: str) -> DataFrame:
     """The same block numbering for pages that are already tables of lines: a running count of beginnings."""
     w = Window.partitionBy(key).orderBy(line)
     blank = F.trim(F.col(text)) == ""
-    starts = F.when(~blank & (F.lag(blank, 1, True).over(w) | F.col(text).rlike(r"^#{1,6}\s")), 1).otherwise(0)
+    starts = F.when(~blank & (F.lag(blank, 1, True).over(w) | F.col(text).rlike(r"^#{1,6}\s+\S")), 1).otherwise(0)
     return lines.withColumn("_s", starts).withColumn("block", F.sum("_s").over(w)).where(~blank).drop("_s")

@@ -140,7 +140,7 @@ _CAND = f"""{TG}, {_DEGREE},
   c as (select id, lower(name) as n, lower(path) as p, lower(name || ' ' || path) as h from nodes),
   w as (select list_sort(list_distinct(regexp_extract_all(lower('Supplier 0001'), '[a-z0-9_]+'))) as ws),
   f as (select id, n from c, w where len(list_filter(ws, lambda x: not contains(h, x))) = 0 {{seed}})
-select id, (case when n = 'supplier 0001' then 1000 when starts_with(n, 'supplier 0001') then 900 when contains(n, 'supplier 0001') then 500 else 0 end + 200 + least(coalesce(degree, 0), 50))::bigint as score
+select id, (case when n = 'supplier 0001' then 1900 else 0 end + case when starts_with(n, 'supplier 0001') then 500 else 0 end + 200 + least(coalesce(degree, 0), 50))::bigint as score
 from f left join degree using (id) order by score desc, id limit 20"""
 
 
@@ -236,7 +236,7 @@ def import_flows(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(f"""{TG} select e.id, {_PLANE.format('a.kind')} as from_plane, {_PLANE.format('b.kind')} as to_plane, confidence from edges e join nodes a on a.id = from_id join nodes b on b.id = to_id
-where e.kind not in ('member-of', 'contains') and {_PLANE.format('a.kind')} <> {_PLANE.format('b.kind')} order by {_W.format('confidence')}, e.id limit 100""")
+where e.kind not in ('member-of', 'contains') and {_PLANE.format('a.kind')} <> {_PLANE.format('b.kind')} order by {_W.format('confidence')} desc, e.id limit 100""")
 def surprising_connections(spark: SparkSession, sf: str) -> DataFrame:
     return G.surprising(tg_nodes(spark, sf), tg_edges(spark, sf), 100)
 
@@ -287,7 +287,7 @@ def graph_violations(spark: SparkSession, sf: str) -> DataFrame:
     return G.violations(tg_nodes(spark, sf), bad)
 
 
-@query(f"{TG} select sha256('edge' || chr(0) || 'member-of' || chr(0) || 'C:' || c_custkey || chr(0) || 'N:' || c_nationkey || chr(0) || 'inferred') as id, 'C:' || c_custkey as from_id, 'N:' || c_nationkey as to_id from customer")
+@query(f"{TG} select sha256('edge' || chr(0) || 'member-of' || chr(0) || 'C:' || c_custkey || chr(0) || 'N:' || c_nationkey || chr(0) || 'exact') as id, 'C:' || c_custkey as from_id, 'N:' || c_nationkey as to_id from customer")
 def member_of(spark: SparkSession, sf: str) -> DataFrame:
     c = table(spark, sf, "customer")
     m = c.select(F.concat(F.lit("C:"), F.col("c_custkey").cast("string")).alias("node_id"), F.concat(F.lit("N:"), F.col("c_nationkey").cast("string")).alias("community_id"))

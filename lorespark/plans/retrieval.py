@@ -113,7 +113,7 @@ def rrf_fusion(spark: SparkSession, sf: str) -> DataFrame:
     return retrieval.fuse(lists, 20).withColumn("score", F.round("score", 9))
 
 
-@query(r"select doc_id, ceil(1.3::double * len(regexp_extract_all(text, '[\p{L}\p{N}_]+|[^\p{Z}\t\n\v\f\r\p{L}\p{N}_]')))::int as tokens from documents where text is not null")
+@query(r"select doc_id, ceil(1.3::double * len(regexp_extract_all(text, '[\p{L}\p{N}]+|[^\p{Z}\t\n\v\f\r\p{L}\p{N}]')))::int as tokens from documents where text is not null")
 def estimate_tokens(spark: SparkSession, sf: str) -> DataFrame:
     return _docs(spark, sf).where("text is not null").select("doc_id", T.estimated_tokens(F.col("text")).alias("tokens"))
 
