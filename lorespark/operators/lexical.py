@@ -42,7 +42,8 @@ def bm25(docs: DataFrame, key: str, text: str, query: str) -> DataFrame:
     rows = tf.join(F.broadcast(df), "_term").crossJoin(F.broadcast(stats))
     idf = F.log(1 + (F.col("_n") - F.col("_df") + 0.5) / (F.col("_df") + 0.5))
     part = F.col("_q") * idf * F.col("_tf") * (K1 + 1) / (F.col("_tf") + K1 * (1 - B + B * F.col("_len") / F.col("_avg")))
-    return rows.groupBy(key).agg(F.sum(part).alias("score"))
+    # sums of doubles depend on their order; rounded, equal texts have equal scores on any cluster
+    return rows.groupBy(key).agg(F.round(F.sum(part), 9).alias("score"))
 
 
 def trigram_scores(docs: DataFrame, key: str, text: str, query: str) -> DataFrame:
@@ -56,7 +57,7 @@ def trigram_scores(docs: DataFrame, key: str, text: str, query: str) -> DataFram
 def lexical_search(docs: DataFrame, key: str, text: str, query: str, limit: int) -> DataFrame:
     """(key, score): BM25 plus trigram score, the best first, equal ones by key."""
     both = bm25(docs, key, text, query).unionByName(trigram_scores(docs, key, text, query))
-    return both.groupBy(key).agg(F.sum("score").alias("score")).orderBy(F.desc("score"), key).limit(limit)
+    return both.groupBy(key).agg(F.round(F.sum("score"), 9).alias("score")).orderBy(F.desc("score"), key).limit(limit)
 
 
 def rank(score: Column | str = "score", key: str = "id") -> Column:

@@ -66,6 +66,7 @@ def scan_text(text: str, language: str) -> list[tuple[str, str, str | None, str
     out: list[tuple] = []
     spans: list[tuple[int, str]] = []  # where each symbol begins, and its full name
     scope: list[tuple[int, str]] = []
+    declared: set[int] = set()
     for m in SYMBOLS[language].finditer(bare):
         name = m.group("n") or m.groupdict().get("v")
         indent = len(m.group("i").expandtabs(4))
@@ -73,6 +74,7 @@ def scan_text(text: str, language: str) -> list[tuple[str, str, str | None, str
             scope.pop()
         within = ".".join(n for _, n in scope) or None
         out.append(("symbol", name, within, m.groupdict().get("k") or "function", bare.count("\n", 0, m.start("n") if m.group("n") else m.start()) + 1))
+        declared.add(m.start("n") if m.group("n") else m.start("v"))
         spans.append((m.end(), f"{within}.{name}" if within else name))
         scope.append((indent, name))
     if language in IMPORTS:
@@ -83,7 +85,7 @@ def scan_text(text: str, language: str) -> list[tuple[str, str, str | None, str
     for m in CALL.finditer(bare):
         while k + 1 < len(spans) and spans[k + 1][0] <= m.start():
             k += 1
-        if k >= 0 and m.group(1) not in NO_CALLS and not (spans[k][0] >= m.start() and spans[k][1].endswith(m.group(1))):
+        if k >= 0 and m.group(1) not in NO_CALLS and m.start() not in declared:
             out.append(("call", m.group(1), spans[k][1], None, bare.count("\n", 0, m.start()) + 1))
     return out
 

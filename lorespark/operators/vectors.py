@@ -17,7 +17,7 @@ def vector_search(vectors: DataFrame, key: str, vector: str, query: list[float],
     """(key, score): the nearest of the stored int8 vectors by dot product, equal ones by key; a scan and a top-k, no shuffle of vectors."""
     q = F.array(*[F.lit(float(x)) for x in query])
     stored = restored(quantised(unit(F.col(vector))))
-    return vectors.select(key, dot(stored, unit(q)).alias("score")).orderBy(F.desc("score"), key).limit(limit)
+    return vectors.select(key, F.round(dot(stored, unit(q)), 9).alias("score")).orderBy(F.desc("score"), key).limit(limit)
 
 
 def mean_pool(vectors: DataFrame, group: str, vector: str) -> DataFrame:

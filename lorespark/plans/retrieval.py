@@ -21,19 +21,19 @@ _BM25 = f"""
   n as (select count(*) as n, avg(len(w)) as avgdl from (select w from docs union all select [] as w from documents where text is null)),
   tf as (select doc_id, len(w) as len, term, count(*) as tf from (select doc_id, w, unnest(w) as term from docs) where term in (select term from qt) group by all),
   df as (select term, count(*) as df from tf group by 1),
-  bm as (select doc_id, sum(q * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / avgdl))) as score from tf join df using (term) join qt using (term), n group by 1)
+  bm as (select doc_id, round(sum(q * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / avgdl))), 9) as score from tf join df using (term) join qt using (term), n group by 1)
 """
 _TRI = f"""
   grams as (select doc_id, unnest(list_distinct(flatten(list_transform(list_filter(w, lambda x: length(x) > 2), lambda x: list_transform(range(1, length(x) - 1), lambda i: substr(x, i, 3)))))) as g from docs),
   qg as (select distinct unnest(flatten(list_transform(list_filter({_WORDS.format(repr(QUERY))}, lambda x: length(x) > 2), lambda x: list_transform(range(1, length(x) - 1), lambda i: substr(x, i, 3))))) as g),
   tri as (select doc_id, 0.01::double * count(*) / (select count(*) from qg) as score from grams join qg using (g) group by 1)
 """
-_LEX = "lex as (select doc_id, sum(score) as score from (select * from bm union all select * from tri) group by 1)"
+_LEX = "lex as (select doc_id, round(sum(score), 9) as score from (select * from bm union all select * from tri) group by 1)"
 _QV = "qv as (select embedding as v from embeddings where vec_id = 0)"
 _QUANT = "select vec_id, list_transform(embedding, lambda x: greatest(-127, least(127, floor(x::double / sqrt(list_dot_product(embedding::double[], embedding::double[])) * 127 + 0.5))) / 127) as s from embeddings"
 _VEC = f"""
   {_QV}, stored as ({_QUANT}),
-  vec as (select vec_id, list_dot_product(s, list_transform(v, lambda x: x::double / sqrt(list_dot_product(v::double[], v::double[])))) as score from stored, qv)
+  vec as (select vec_id, round(list_dot_product(s, list_transform(v, lambda x: x::double / sqrt(list_dot_product(v::double[], v::double[])))), 9) as score from stored, qv)
 """
 
 
