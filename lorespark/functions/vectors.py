@@ -15,9 +15,9 @@ def norm(a: Column) -> Column:
     return F.sqrt(dot(a, a))
 
 
-def unit(a: Column) -> Column:
-    """Divided by its norm; a zero vector stays as it is."""
-    return F.transform(a, lambda x: x.cast("double") / F.when(norm(a) == 0, F.lit(1.0)).otherwise(norm(a)))
+def unit(a: Column, length: Column) -> Column:
+    """Divided by its norm, which is given as a column: within the function it would be computed for every entry. A zero vector stays as it is."""
+    return F.transform(a, lambda x: x.cast("double") / F.when(length == 0, F.lit(1.0)).otherwise(length))
 
 
 def quantised(a: Column) -> Column:

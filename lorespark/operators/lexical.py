@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lorespark.functions.text import trigrams, words
+from lorespark.sources.shared import spread
 
 K1, B = 1.2, 0.75
 TRIGRAM_WEIGHT = 0.01
@@ -28,40 +29,48 @@ def _of_query(spark, query: str, expression) -> list[str]:
 def bm25(docs: DataFrame, key: str, text: str, query: str) -> DataFrame:
     """(key, score) of the texts with any term of the query; a term that the query repeats counts as often.
 
-    Only the query's terms leave the scan: each text gives its length and the counts of those terms, so the one shuffle
-    carries a few rows a matching text. Null and empty texts count with length 0 in the average, as documents without terms.
+    Nothing is shuffled: a first pass gathers one row (texts, average length, texts of each term), a second one scores
+    every text by that row.
+    Null and empty texts count with length 0 in the average, as documents without terms.
     """
-    terms = _of_query(docs.sparkSession, query, words)
-    held = docs.select(key, words(F.coalesce(F.col(text), F.lit(""))).alias("_w"))
-    stats = held.agg(F.count(F.lit(1)).alias("_n"), F.avg(F.size("_w")).alias("_avg"))
-    wanted = F.array(*map(F.lit, dict.fromkeys(terms))) if terms else F.array().cast("array<string>")
-    tf = held.select(key, F.size("_w").alias("_len"), F.explode(F.filter("_w", lambda w: F.array_contains(wanted, w))).alias("_term")).groupBy(key, "_len", "_term").agg(F.count(F.lit(1)).alias("_tf"))
-    weight = docs.sparkSession.createDataFrame([(t, terms.count(t)) for t in dict.fromkeys(terms)], "_term string, _q int")
-    df = tf.groupBy("_term").agg(F.count(F.lit(1)).alias("_df")).join(weight, "_term")
-    # both sides are bounded: one row, and one row for each term of the query
-    rows = tf.join(F.broadcast(df), "_term").crossJoin(F.broadcast(stats))
-    idf = F.log(1 + (F.col("_n") - F.col("_df") + 0.5) / (F.col("_df") + 0.5))
-    part = F.col("_q") * idf * F.col("_tf") * (K1 + 1) / (F.col("_tf") + K1 * (1 - B + B * F.col("_len") / F.col("_avg")))
-    # sums of doubles depend on their order; rounded, equal texts have equal scores on any cluster
-    return rows.groupBy(key).agg(F.round(F.sum(part), 9).alias("score"))
+    spark = docs.sparkSession
+    terms = _of_query(spark, query, words)
+    distinct = list(dict.fromkeys(terms))
+    if not distinct:
+        return docs.select(key, F.lit(0.0).alias("score")).limit(0)
+    wanted = F.array(*map(F.lit, distinct))
+    # functions over small arrays keep the compiled code small; the array of one makes its element be computed once
+    counted = F.transform(
+        F.array(words(F.coalesce(F.col(text), F.lit("")))),
+        lambda ws: F.struct(F.size(ws).alias("len"), F.transform(wanted, lambda t: F.size(F.filter(ws, lambda w: w == t))).alias("tf")),
+    )[0]
+    held = docs.select(key, counted.alias("_c"))
+    stats = held.agg(F.count(F.lit(1)).alias("_n"), F.avg("_c.len").alias("_avg"), F.array(*[F.count_if(F.col("_c.tf")[i] > 0) for i in range(len(distinct))]).alias("_df"))
+    repeats = F.array(*[F.lit(float(terms.count(t))) for t in distinct])
+    idf = F.transform("_df", lambda df: F.log(1 + (F.col("_n") - df + 0.5) / (df + 0.5)))
+    stats = stats.select("_avg", F.zip_with(repeats, idf, lambda q, i: q * i * (K1 + 1)).alias("_w"))
+    part = lambda tf, w: w * tf / (tf + K1 * (1 - B + B * F.col("_c.len") / F.col("_avg")))
+    score = F.aggregate(F.zip_with("_c.tf", "_w", part), F.lit(0.0), lambda a, x: a + x)
+    # one row is broadcast; sums of doubles depend on their order, so equal texts get equal scores by rounding
+    return held.where(F.exists("_c.tf", lambda n: n > 0)).crossJoin(F.broadcast(stats)).select(key, F.round(score, 9).alias("score"))
 
 
 def trigram_scores(docs: DataFrame, key: str, text: str, query: str) -> DataFrame:
-    """(key, score): the share of the query's trigrams that a text has, weighted lightly. No shuffle."""
-    wanted = _of_query(docs.sparkSession, query, trigrams)
-    grams = F.array(*map(F.lit, wanted)) if wanted else F.array().cast("array<string>")
-    hits = F.size(F.array_intersect(trigrams(F.col(text)), grams))
-    return docs.where(F.col(text).isNotNull()).select(key, (F.lit(TRIGRAM_WEIGHT) * hits / max(1, len(wanted))).alias("score")).where("score > 0")
+    """(key, score): the share of the query's trigrams that a text has, weighted lightly. No shuffle.
+
+    A trigram is three signs of a word, so wherever it stands in a text it stands within a word: a plain search finds it.
+    """
+    grams = _of_query(docs.sparkSession, query, trigrams)
+    if not grams:
+        return docs.select(key, F.lit(0.0).alias("score")).limit(0)
+    wanted = F.array(*map(F.lit, grams))
+    hits = F.transform(F.array(F.lower(F.col(text))), lambda low: F.size(F.filter(wanted, lambda g: F.call_function("instr", low, g) > 0)))[0]
+    return docs.where(F.col(text).isNotNull()).select(key, (F.lit(TRIGRAM_WEIGHT) * hits / len(grams)).alias("score")).where("score > 0")
 
 
 def lexical_search(docs: DataFrame, key: str, text: str, query: str, limit: int) -> DataFrame:
     """(key, score): BM25 plus trigram score, the best first, equal ones by key."""
+    docs = spread(docs.select(key, text))
     both = bm25(docs, key, text, query).unionByName(trigram_scores(docs, key, text, query))
+    # a key that repeats as a row counts with its sum, as its postings would
     return both.groupBy(key).agg(F.round(F.sum("score"), 9).alias("score")).orderBy(F.desc("score"), key).limit(limit)
-
-
-def rank(score: Column | str = "score", key: str = "id") -> Column:
-    """Place by descending score, then key; for a list that a limit has bounded."""
-    from pyspark.sql import Window
-
-    return F.row_number().over(Window.orderBy(F.desc(score), key))

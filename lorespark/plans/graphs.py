@@ -9,6 +9,7 @@ from lorespark.functions.ids import edge_id
 from lorespark.operators import graphs as G
 from lorespark.operators import iterative as I
 from lorespark.plans.registry import query
+from lorespark.sources.shared import kept
 from lorespark.sources.tables import table
 
 _ID = "sha256('edge' || chr(0) || kind || chr(0) || from_id || chr(0) || to_id || chr(0) || confidence)"
@@ -146,12 +147,12 @@ from f left join degree using (id) order by score desc, id limit 20"""
 
 @query(_CAND.format(seed="and list_has_any(regexp_extract_all(h, '[a-z0-9_]+'), ws)"))
 def ranked_candidates(spark: SparkSession, sf: str) -> DataFrame:
-    return G.ranked_candidates(tg_nodes(spark, sf), tg_edges(spark, sf), "Supplier 0001", 20).withColumn("score", F.col("score").cast("bigint"))
+    return G.ranked_candidates(tg_nodes(spark, sf), kept(tg_edges(spark, sf)), "Supplier 0001", 20).withColumn("score", F.col("score").cast("bigint"))
 
 
 @query(_CAND.format(seed=""))
 def scored_scan(spark: SparkSession, sf: str) -> DataFrame:
-    return G.ranked_candidates(tg_nodes(spark, sf), tg_edges(spark, sf), "Supplier 0001", 20, seeded=False).withColumn("score", F.col("score").cast("bigint"))
+    return G.ranked_candidates(tg_nodes(spark, sf), kept(tg_edges(spark, sf)), "Supplier 0001", 20, seeded=False).withColumn("score", F.col("score").cast("bigint"))
 
 
 @query(f"{TG} select id, kind, path, name from nodes where id = 'ASIA' or path = 'ASIA' or lower(name) = 'asia'")
@@ -172,7 +173,7 @@ def adjacency_capped(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"{TG}, {_ROOTS}, {_ADJ.format(100)} select id, kind, path, name from nodes where id in (select from_id from adj union all select to_id from adj union all select id from roots)")
 def context_one_hop(spark: SparkSession, sf: str) -> DataFrame:
-    return G.context(tg_nodes(spark, sf), tg_edges(spark, sf), _ids(spark, "N:3", "S:5", "P:17"), 100)
+    return G.context(tg_nodes(spark, sf), kept(tg_edges(spark, sf)), _ids(spark, "N:3", "S:5", "P:17"), 100)
 
 
 @query(f"{TG} select e.id from edges e where from_id in (select id from nodes where kind <> 'page') and to_id in (select id from nodes where kind <> 'page')")
@@ -222,12 +223,12 @@ _NEAR = f"""s0 as (select unnest(['S:5', 'P:17']) as id, 1.0::double as w), {_HO
 
 @query(f"{TG}, {_NEAR} select id, round(w, 9) as weight from near")
 def graph_signal(spark: SparkSession, sf: str) -> DataFrame:
-    return G.proximity(tg_edges(spark, sf), _ids(spark, "S:5", "P:17")).select("id", F.round("weight", 9).alias("weight"))
+    return G.proximity(kept(tg_edges(spark, sf)), _ids(spark, "S:5", "P:17")).select("id", F.round("weight", 9).alias("weight"))
 
 
 @query(f"{TG}, {_NEAR} select id, round(w, 9) as weight from near where id not in ('S:5', 'P:17') order by w desc, id limit 40")
 def related_nodes(spark: SparkSession, sf: str) -> DataFrame:
-    return G.related(tg_edges(spark, sf), _ids(spark, "S:5", "P:17"), 40).select("id", F.round("weight", 9).alias("weight"))
+    return G.related(kept(tg_edges(spark, sf)), _ids(spark, "S:5", "P:17"), 40).select("id", F.round("weight", 9).alias("weight"))
 
 
 @query(f"{TG} select a.path as from_path, b.path as to_path, count(*) as weight from edges e join nodes a on a.id = from_id join nodes b on b.id = to_id where e.kind = 'references' group by all")
@@ -282,7 +283,7 @@ _FAULTY = """, bad as (select id, kind, from_id, to_id, case when substr(id, 1,
   union all select 'edge id wrong', id from bad where id <> {_ID}
   union all select 'node id wrong', id from nodes)""")
 def graph_violations(spark: SparkSession, sf: str) -> DataFrame:
-    e = tg_edges(spark, sf)
+    e = kept(tg_edges(spark, sf))  # read once for each rule
     bad = e.withColumn("confidence", F.when(F.col("id").startswith("00"), "extracted").otherwise(F.col("confidence"))).unionByName(e.where("id like '01%'"))
     return G.violations(tg_nodes(spark, sf), bad)
 

@@ -25,7 +25,7 @@ def _signals(spark: SparkSession, sf: str, n: int) -> tuple[dict[str, DataFrame]
     words = kept(lexical.lexical_search(_docs(spark, sf).withColumnRenamed("doc_id", "id"), "id", "text", QUERY, n))
     near = vectors.vector_search(table(spark, sf, "embeddings").select(F.col("vec_id").cast("bigint").alias("id"), "embedding"), "id", "embedding", _query_vector(spark, sf), n)
     seeds = kept(words.orderBy(F.desc("score"), "id").limit(10).select(F.concat(F.lit("P:"), F.col("id").cast("string")).alias("id")))
-    close = graphs.proximity(tg_edges(spark, sf), seeds).where("id like 'P:%'").select(F.expr("cast(substring(id, 3) as bigint)").alias("id"), F.col("weight").alias("score"))
+    close = graphs.proximity(kept(tg_edges(spark, sf)), seeds).where("id like 'P:%'").select(F.expr("cast(substring(id, 3) as bigint)").alias("id"), F.col("weight").alias("score"))
     return {"lexical": words, "vector": near, "graph": close.orderBy(F.desc("score"), "id").limit(n)}, seeds
 
 
@@ -39,4 +39,4 @@ def hybrid_search(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"{TG}, {_LISTS} select id, round(w, 9) as weight from near where id not in (select 'P:' || id from a where r <= 10) order by w desc, id limit 40")
 def ask_related(spark: SparkSession, sf: str) -> DataFrame:
-    return graphs.related(tg_edges(spark, sf), _signals(spark, sf, 80)[1], 40).select("id", F.round("weight", 9).alias("weight"))
+    return graphs.related(kept(tg_edges(spark, sf)), _signals(spark, sf, 80)[1], 40).select("id", F.round("weight", 9).alias("weight"))

@@ -16,3 +16,12 @@ def kept(df: DataFrame) -> DataFrame:
     if context._jsc.sc().getCheckpointDir().isEmpty():
         context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoint"))
     return df.checkpoint()
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """The same rows over all cores, if a scan of few or small files leaves cores idle; for work that costs far more than moving rows.
+
+    A table of many files already has more partitions than there are cores and is left as it is: no shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df._jdf.rdd().getNumPartitions() < cores else df
