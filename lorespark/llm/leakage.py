@@ -17,6 +17,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lorespark.sources.shared import spread
+
 WORDS = 13
 #: Characters of test items that go into one automaton; more are searched in further passes, none is left out.
 BLOCK_CHARS = 20_000_000
@@ -71,7 +73,7 @@ def leaked_spans(documents: DataFrame, items: DataFrame, size: int = WORDS, bloc
     items = items.where("item_text is not null and item_id is not null").select("item_id", "item_text").distinct()
     total = items.agg(F.sum(F.length("item_text"))).first()[0] or 0
     blocks = total // block_chars + 1
-    texts = documents.where("text is not null and text <> ''").select("doc_id", "text")
+    texts = spread(documents.where("text is not null and text <> ''").select("doc_id", "text"))
     out = None
     for k in range(blocks):
         mine = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k) if blocks > 1 else items

@@ -31,7 +31,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lorespark.sources.shared import kept
+from lorespark.sources.shared import kept, spread
 
 TYPES = ("EMAIL", "PHONE", "ID", "ADDRESS", "NAME")
 #: Candidates that the span model is trained on, at most about this many for all types.
@@ -432,7 +432,7 @@ def find_mentions(texts: DataFrame, trained_on: int = TRAINED_ON) -> DataFrame:
     are read whole.
     """
     spark = texts.sparkSession
-    texts = texts.where("text is not null and text <> ''").select("tbl", "row_id", "text")
+    texts = spread(texts.where("text is not null and text <> ''").select("tbl", "row_id", "text"))
     lexicon = spark.sparkContext.broadcast(learn_lexicon(texts))
 
     def propose(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
