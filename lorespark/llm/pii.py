@@ -84,6 +84,9 @@ STREET_FIRST = re.compile(
     r"|(?:Via|Viale|Piazza|Corso|Vicolo|Largo|Calle|Paseo|Avenida|Plaza|Camino|Carrera|Ronda)\s(?:[\w'’.]+\s){1,4}?\d{1,4}\b"
     r"|(?:P\.?\s?O\.?\s?Box|Postfach|Casella\spostale|Apartado(?:\sde\scorreos)?|Boîte\spostale)\s\d+)"
 )
+# A street without a number: rather the name of something else.
+BARE_STREET = re.compile(rf"(?<![\w-])(?:{_CAP}\s){{1,2}}(?:Street|Road|Lane|Avenue)\b")
+BARE_WORDS = (" Street", " Road", " Lane", " Avenue")
 # What may follow: flat, postal code and place.
 TAIL = re.compile(r"(?: [A-ZÀ-Þ][\w'’-]+(?=,))?(?:,\s(?:Apt\.?\s\w+|\d+\.º\s\w))?(?:(?:,\s|\n)(?:\d{5}\s[A-ZÀ-Þ][\w'’-]+|[A-ZÀ-Þ][\w'’-]+(?:\s\d{5})?))?")
 # The street words of NUMBER_FIRST; and words of which one stands in everything that STREET_FIRST finds.
@@ -96,7 +99,7 @@ NOT_PHONE = re.compile(r"\d{4}-\d{2}-\d{2}|(?:\d{1,3}\.){3}\d{1,3}$|\d{1,2}[./]\
 PHONE_WORDS = re.compile(r"(?:call|tel|tél|phone|ring|text|sms to|reach|number|numero|número|numéro|telefono|telefon|fax|mobil|cell|find|電話|\bat|to=|on file)\W*(?:[\w'’.\-]+,? ){0,4}\W*$", re.I)
 ID_WORDS = re.compile(r"(?:\bid\b|id no|ssn|passport|tax|insurance|national|ausweis|steuer|codice fiscale|documento|identidad|identité|sozialversicherung|versicherung|personal number|nif|nie|dni|badge|social security)[^.\n;|]{0,24}$", re.I)
 THING_WORDS = re.compile(r"(?:order|checksum|build|trace|commit|revisions?|lines?|version|retry|batch|ticket|rev|offset|depth|limit|width|total|score|weight|budget|port|issue|page|step|lane|after)\W*$", re.I)
-PLACE_WORDS = re.compile(r"(?:invoice to|visit us at|office is at|moved from|lives at|chez [^\n]{2,40},|lieferadresse:|laptop to [^\n]{2,40},|spedire a [^\n]{2,40},|equipo a|address:?|on file: [^\n]{2,60},|\n)\s*$", re.I)
+PLACE_WORDS = re.compile(r"(?:invoice to|visit us at|office is at|moved from|lives at|chez [^\n]{2,40},|lieferadresse:|laptop to [^\n]{2,40},|spedire a [^\n]{2,40},|equipo a|address:?|on file: [^\n]{2,60},|\baddr(?:ess)?\w*\s?[=:]\s?[\"']?|\n)\s*$", re.I)
 CODE_NAME = re.compile(r"^[^\n.]{0,12}\b(?:is|was) (?:only |just )?(?:the |a |an )?(?:code ?name|name of|cluster|project|branch)", re.I)
 
 
@@ -228,7 +231,15 @@ def learn_lexicon(texts: DataFrame) -> tuple[frozenset[str], frozenset[str]]:
 
 
 def _names(text: str, flag: Flags, taken: list[tuple[int, int]]) -> Iterator[tuple]:
-    """Given name or initial with a surname, in either order, in any case."""
+    """Given name or initial with a surname, in either order, in any case.
+
+    The first pair of capitalised words of which neither is in the lexicon is proposed too: it shows EM what no name looks like.
+    """
+    counter = next((m for m in PAIR.finditer(text) if not any(flag[m.group(1)]) and not any(flag[m.group(2)])), None)
+    if counter and not any(counter.start() < e and s < counter.end(2) for s, e in taken):
+        a, b = counter.start(), counter.end(2)
+        person, thing = PERSON_BEFORE.search(text[max(0, a - 40) : a]), THING_BEFORE.search(text[max(0, a - 40) : a])
+        yield "NAME", a, b, vote(-1, -1, 1 if person else -1 if thing else 0, 1 if PERSON_AFTER.search(text[b : b + 24]) else 0, 1, 0)
     tokens = [(m.group(), m.start(), m.end()) for m in WORD.finditer(text)]
     n = len(tokens)
     flags = [flag[w] for w, _, _ in tokens]
@@ -297,6 +308,8 @@ class Flags(dict):
             self.automaton.add_word(w, "name")
         for w in STREET_STARTS:
             self.automaton.add_word(w, "street")
+        for w in BARE_WORDS:
+            self.automaton.add_word(w, "bare")
         self.automaton.make_automaton()
 
     def __missing__(self, word: str) -> tuple[bool, bool]:
@@ -369,6 +382,8 @@ def candidates(text: str, flag: Flags) -> list[tuple[str, int, int, str]]:
     searched = [NUMBER_FIRST]
     if "street" in hints and STREET_QUICK.search(text):
         searched.append(STREET_FIRST)
+    if "bare" in hints:
+        searched.append(BARE_STREET)
     for expression in searched:
         for m in expression.finditer(text):
             a, b = m.span()
@@ -376,7 +391,7 @@ def candidates(text: str, flag: Flags) -> list[tuple[str, int, int, str]]:
                 continue
             before, after = text[max(0, a - 70) : a], text[b : b + 30]
             out.append(("ADDRESS", a, b, vote(1 if PLACE_WORDS.search(before) else 0, 1 if POSTCODE.match(after) else 0, -1 if CODE_NAME.match(after) or THING_WORDS.search(before) else 0, 1 if re.search(r"\d", m.group()) else -1)))
-            b = TAIL.match(text, b).end()
+            b = TAIL.match(text, b).end() if expression is not BARE_STREET else b
             out[-1] = ("ADDRESS", a, b, out[-1][3])
             taken.append((a, b))
     if "name" in hints:
