@@ -88,7 +88,7 @@ STREET_FIRST = re.compile(
 BARE_STREET = re.compile(rf"(?<![\w-])(?:{_CAP}\s){{1,2}}(?:Street|Road|Lane|Avenue)\b")
 BARE_WORDS = (" Street", " Road", " Lane", " Avenue")
 # What may follow: flat, postal code and place.
-TAIL = re.compile(r"(?: [A-ZÀ-Þ][\w'’-]+(?=,))?(?:,\s(?:Apt\.?\s\w+|\d+\.º\s\w))?(?:(?:,\s|\n)(?:\d{5}\s[A-ZÀ-Þ][\w'’-]+|[A-ZÀ-Þ][\w'’-]+(?:\s\d{5})?))?")
+TAIL = re.compile(r"(?: [A-ZÀ-Þ][\w'’-]+(?=,))?(?:,\s(?:Apt\.?\s\w+|\d+\.º\s\w))?(?:(?:,\s|\n)(?:\d{5}\s[A-ZÀ-Þ][\w'’-]+|[A-ZÀ-Þ][\w'’-]+\s\d{5})|,\s[A-ZÀ-Þ][\w'’-]+)?")
 # The street words of NUMBER_FIRST; and words of which one stands in everything that STREET_FIRST finds.
 STREET_WORDS = frozenset("Lane Road Street Avenue Terrace Drive Close Court Crescent Square Boulevard Parkway St Ave Blvd Rd Ln Dr".split())
 STREET_STARTS = tuple("straße|strasse|str. |weg |gasse |platz |allee |ring |damm |ufer |steig |Am |An de|Auf de|Im |In de|Zu|Unter|Alte|Neue|Obere|Große|Kleine|Via|Piazza|Corso|Vicolo|Largo|Calle|Paseo|Avenida|Plaza|Camino|Carrera|Ronda|Box |Postfach|Casella|Apartado|Boîte".split("|"))
@@ -97,7 +97,7 @@ POSTCODE = re.compile(r"^[,\s]{0,3}(?:[^\n,]{0,12},\s)?(?:\d{5}\b|[A-ZÀ-Þ][\w'
 WORD = re.compile(r"(?:[OoDd]['’])?[^\W\d_]+(?:[-][^\W\d_]+)*")
 NOT_PHONE = re.compile(r"\d{4}-\d{2}-\d{2}|(?:\d{1,3}\.){3}\d{1,3}$|\d{1,2}[./]\d{1,2}[./]\d{4}$|\d{4}\.\d|\d+[.,]\d+$")
 PHONE_WORDS = re.compile(r"(?:call|tel|tél|phone|ring|text|sms to|reach|number|numero|número|numéro|telefono|telefon|fax|mobil|cell|find|電話|\bat|to=|on file)\W*(?:[\w'’.\-]+,? ){0,4}\W*$", re.I)
-ID_WORDS = re.compile(r"(?:\bid\b|id no|ssn|passport|tax|insurance|national|ausweis|steuer|codice fiscale|documento|identidad|identité|sozialversicherung|versicherung|personal number|nif|nie|dni|badge|social security)[^.\n;|]{0,24}$", re.I)
+ID_WORDS = re.compile(r"\b(?:id|ssn|passport|tax|insurance|national(?:_id)?|ausweis|personalausweis|steuer\w*|codice fiscale|documento|identidad|identité|sozialversicherung\w*|versicherung\w*|personal number|nif|nie|dni|badge|social security)\b(?:(?<=n[ro])\.|_id\b|[^.\n;|]){0,24}$", re.I)
 THING_WORDS = re.compile(r"(?:order|checksum|build|trace|commit|revisions?|lines?|version|retry|batch|ticket|rev|offset|depth|limit|width|total|score|weight|budget|port|issue|page|step|lane|after)\W*$", re.I)
 PLACE_WORDS = re.compile(r"(?:invoice to|visit us at|office is at|moved from|lives at|chez [^\n]{2,40},|lieferadresse:|laptop to [^\n]{2,40},|spedire a [^\n]{2,40},|equipo a|address:?|on file: [^\n]{2,60},|\baddr(?:ess)?\w*\s?[=:]\s?[\"']?|\n)\s*$", re.I)
 CODE_NAME = re.compile(r"^[^\n.]{0,12}\b(?:is|was) (?:only |just )?(?:the |a |an )?(?:code ?name|name of|cluster|project|branch)", re.I)
@@ -178,8 +178,9 @@ def em(patterns: dict[str, float], rounds: int = 60) -> dict[str, float]:
             np.add.at(f, votes[:, j], count * (1 - p))
             t, f = t / t.sum(), f / f.sum()
             # a vote may be worthless, but never speaks for its opposite
-            if t[2] * f[0] < t[0] * f[2]:
-                t = f = (t + f) / 2
+            for c, (more, less) in ((2, (t, f)), (0, (f, t))):
+                if more[c] < less[c]:
+                    more[c] = less[c] = (more[c] + less[c]) / 2
             true += np.log(t[votes[:, j]])
             false += np.log(f[votes[:, j]])
         p = 1 / (1 + np.exp(np.clip(false - true, -50, 50)))
@@ -371,12 +372,12 @@ def candidates(text: str, flag: Flags) -> list[tuple[str, int, int, str]]:
         before, after = text[max(0, a - 40) : a], text[b : b + 12]
         id_said, phone_said, thing = ID_WORDS.search(before), PHONE_WORDS.search(before), THING_WORDS.search(before)
         dated = NOT_PHONE.match(s)
-        prefix = s[0] in "+＋" or s.startswith("00")
-        national = bool(re.fullmatch(r"(?:\(\d{3}\) ?\d{3}-\d{4}|\d{3}[.-]\d{3}[.-]\d{4}|0\d{1,4}[ /-]?[\d -]{6,12}|\d{3} \d{3} \d{4})", s))
+        prefix = s[0] in "+＋" or n >= 11 and bool(re.match(r"00[1-9]", s))
         id_shape = bool(re.fullmatch(r"\d{3}([- ])\d{2}\1\d{4}|\d{2} \d{3} \d{3} \d{3}|\d{11}|\d{8,10}", s))
-        if not (prefix or national or id_shape or id_said or phone_said):
+        national = not id_shape and bool(re.fullmatch(r"(?:\(\d{3}\) ?\d{3}-\d{4}|\d{3}[.-]\d{3}[.-]\d{4}|0[1-9]\d{0,3}[ /-]?[\d -]{6,12}|\d{3} \d{3} \d{4})", s))
+        if not (prefix or national or id_shape or id_said or phone_said or thing):
             continue
-        out.append(("PHONE", a, b, vote(1 if phone_said and not id_said else -1 if id_said or thing else 0, 1 if prefix else 0, 1 if national or prefix else -1, -1 if dated or re.match(r"[-_.]?\w", after) else 0, 1 if 9 <= n <= 13 else -1, -1 if id_shape else 0)))
+        out.append(("PHONE", a, b, vote(1 if phone_said and not id_said else -1 if id_said else 0, -1 if thing else 0, 1 if prefix else 0, 1 if national or prefix else -1, -1 if dated or re.match(r"[-_.]?\w", after) else 0, 1 if 9 <= n <= 13 else -1, -1 if id_shape else 0)))
         out.append(("ID", a, b, vote(1 if id_said else -1 if thing or phone_said else 0, 1 if id_shape else -1, -1 if prefix or dated else 0, -1 if re.match(r"[-_.]?\w", after) else 1)))
         taken.append((a, b))
     searched = [NUMBER_FIRST]
