@@ -47,7 +47,7 @@ def test_proposed(text, kind, span):
     assert (kind, span) in found(text)
 
 
-@pytest.mark.parametrize("text", ["Install @kiln/x@1.6.4 first", "Mention @oncall", "Build 2026.310.555 took 252 ms on 192.0.2.27", "ask amber-weaver about Amber Weaver", "2026-03-20T19:30:45Z WARN offset=71", "", "x" * 50_000])
+@pytest.mark.parametrize("text", ["Install @kiln/x@1.6.4 first", "Mention @oncall", "ask amber-weaver about Amber Weaver", "2026-03-20T19:30:45Z WARN offset=71", "", "x" * 50_000])
 def test_not_proposed(text):
     assert not {k for k, _ in found(text)} - {"ADDRESS"}
 
@@ -71,6 +71,7 @@ def corpus(n):
         name = f"{rng.choice(given)} {rng.choice(last)}"
         mail = f"user{i}@mail.example"
         text = f"Please ask {name} about amber-weaver. Write to {mail} if Amber Weaver in amber-weaver fails. Call +44 20 7946 0{i % 900 + 100} soon."
+        text += rng.choice(["", " Build 2026.310.555 took 252 ms on 192.0.2.27.", " Checksum 00482193-77 belongs to batch 7.", " Order 4471-02-9930 was moved.", " Harbor Street is only the code name of the amber-weaver cluster."])
         truth |= {("documents", i, "NAME", text.index(name)), ("documents", i, "EMAIL", text.index(mail)), ("documents", i, "PHONE", text.index("+44"))}
         out.append(("documents", i, text))
     return out, truth
