@@ -104,3 +104,8 @@ def markdown_links(text: Column) -> Column:
 def canonical_time(text: Column) -> Column:
     """Whether a text is exactly ``YYYY-MM-DDTHH:MM:SS.mmmZ`` and names a real moment."""
     return text.rlike(r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}\.\d{3}Z$") & F.coalesce(F.date_format(F.try_to_timestamp(text), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'") == text, F.lit(False))
+
+
+def citation(path: Column, start_line: Column, end_line: Column) -> Column:
+    """``path#L3-9``"""
+    return F.format_string("%s#L%d-%d", path, start_line, end_line)

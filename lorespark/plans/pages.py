@@ -86,6 +86,11 @@ def chunk_ids(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "chunk_refs").select("id", chunk_id(*c).alias("computed"), bucket(F.col("content_hash")).alias("bucket")).distinct()
 
 
+@query("select distinct id, path || '#L' || start_line || '-' || end_line as citation from chunk_refs")
+def citations(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "chunk_refs").select("id", T.citation(F.col("path"), F.col("start_line"), F.col("end_line")).alias("citation")).distinct()
+
+
 @query("""
 select distinct rule, id from (
   select 'lines backward' as rule, id from chunk_refs where end_line < start_line
