@@ -28,7 +28,7 @@ from itertools import chain
 import ahocorasick
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lorespark.sources.shared import kept, spread
@@ -500,21 +500,13 @@ def redact(texts: DataFrame, mentions: DataFrame) -> DataFrame:
     """(tbl, row_id, text): each mention replaced by ``[TYPE]``, all else kept. Null texts stay null; repeated rows count once."""
     cut = F.struct(F.col("start_pos"), F.col("end_pos"), F.col("pii_type"))
     spans = mentions.groupBy("tbl", "row_id").agg(F.sort_array(F.collect_list(cut)).alias("spans"))
+    text = F.col("text")
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            out = []
-            for text, spans in zip(f["text"], f["spans"]):
-                if spans is None or text is None:
-                    out.append(text)
-                    continue
-                parts, at = [], 0
-                for s in spans:
-                    if s["start_pos"] >= at:
-                        parts += [text[at : s["start_pos"]], f"[{s['pii_type']}]"]
-                        at = s["end_pos"]
-                out.append("".join(parts) + text[at:])
-            yield f[["tbl", "row_id"]].assign(text=out)
+    def add(acc: Column, s: Column) -> Column:
+        grown = F.concat(acc["out"], F.substr(text, acc["at"] + 1, s["start_pos"] - acc["at"]), F.lit("["), s["pii_type"], F.lit("]"))
+        return F.when(s["start_pos"] >= acc["at"], F.struct(grown.alias("out"), s["end_pos"].alias("at"))).otherwise(acc)
 
+    start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
+    clean = F.aggregate("spans", start, add, lambda acc: F.concat(acc["out"], F.substr(text, acc["at"] + 1, F.length(text))))
     rows = texts.select("tbl", "row_id", "text").distinct().join(spans, ["tbl", "row_id"], "left")
-    return rows.mapInPandas(run, "tbl string, row_id bigint, text string")
+    return rows.select("tbl", "row_id", F.when(F.col("spans").isNull(), text).otherwise(clean).alias("text"))
