@@ -92,3 +92,10 @@ def test_end_to_end(spark):
 def test_empty_table(spark):
     df = spark.createDataFrame([], TEXT)
     assert pii.find_mentions(df).count() == 0 and pii.redact(df, pii.find_mentions(df)).count() == 0
+
+
+def test_redaction_counts_code_points(spark):
+    texts = spark.createDataFrame([("d", 1, "🧵é a@b.example 🧵 x"), ("d", 2, "z" * 100_000 + " end")], TEXT)
+    mentions = spark.createDataFrame([("d", 1, "EMAIL", 3, 14), ("d", 1, "NAME", 5, 9), ("d", 2, "NAME", 100_001, 100_004)], "tbl string, row_id bigint, pii_type string, start_pos int, end_pos int")
+    got = {r.row_id: r.text for r in pii.redact(texts, mentions).collect()}
+    assert got[1] == "🧵é [EMAIL] 🧵 x" and got[2] == "z" * 100_000 + " [NAME]"
