@@ -49,7 +49,7 @@ def tg_nodes(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def tg_edges(spark: SparkSession, sf: str, sub: bool = False) -> DataFrame:
-    """All edges, or the sub-graph for iterative analytics: large quantities only, and no mentions."""
+    """All edges, or the sub-graph of the queries whose SQL is stated over it: large quantities only, and no mentions."""
     ref = lambda letter, key: F.concat(F.lit(letter + ":"), F.col(key).cast("string"))
     row = lambda df, kind, a, b, c: df.select(F.lit(kind).alias("kind"), a.alias("from_id"), b.alias("to_id"), (F.lit(c) if isinstance(c, str) else c).alias("confidence"))
     nation, supplier, customer = (table(spark, sf, t) for t in ("nation", "supplier", "customer"))
@@ -181,8 +181,8 @@ def contained_edges(spark: SparkSession, sf: str) -> DataFrame:
     return G.contained(tg_edges(spark, sf), tg_nodes(spark, sf).where("kind <> 'page'")).select("id")
 
 
-def _impact_sql(step: str, depth: int, root: str) -> str:
-    return f"{SUB}, step as ({step}), r(id, d) as (select '{root}', 0 union select b, d + 1 from r join step on a = r.id where d < {depth}) select id, min(d)::int as depth from r group by 1".replace("with ", "with recursive ", 1)
+def _impact_sql(step: str, depth: int, root: str, graph: str = SUB) -> str:
+    return f"{graph}, step as ({step}), r(id, d) as (select '{root}', 0 union select b, d + 1 from r join step on a = r.id where d < {depth}) select id, min(d)::int as depth from r group by 1".replace("with ", "with recursive ", 1)
 
 
 _OUT, _IN = "select from_id as a, to_id as b from edges", "select to_id as a, from_id as b from edges"
@@ -193,16 +193,31 @@ def impact_inbound(spark: SparkSession, sf: str) -> DataFrame:
     return G.impact(tg_edges(spark, sf, sub=True), _ids(spark, "P:17"), "inbound", 3).select("id", "depth")
 
 
+@query(_impact_sql(_IN, 3, "P:17", TG))
+def impact_inbound_whole(spark: SparkSession, sf: str) -> DataFrame:
+    return G.impact(kept(tg_edges(spark, sf)), _ids(spark, "P:17"), "inbound", 3).select("id", "depth")
+
+
 @query(_impact_sql(_OUT, 3, "N:3"))
 def impact_outbound(spark: SparkSession, sf: str) -> DataFrame:
     return G.impact(tg_edges(spark, sf, sub=True), _ids(spark, "N:3"), "outbound", 3).select("id", "depth")
 
 
+@query(_impact_sql(_OUT, 3, "N:3", TG))
+def impact_outbound_whole(spark: SparkSession, sf: str) -> DataFrame:
+    return G.impact(kept(tg_edges(spark, sf)), _ids(spark, "N:3"), "outbound", 3).select("id", "depth")
+
+
 @query(_impact_sql(f"{_OUT} union all {_IN}", 2, "S:5"))
 def impact_both(spark: SparkSession, sf: str) -> DataFrame:
     return G.impact(tg_edges(spark, sf, sub=True), _ids(spark, "S:5"), "both", 2).select("id", "depth")
 
 
+@query(_impact_sql(f"{_OUT} union all {_IN}", 2, "S:5", TG))
+def impact_both_whole(spark: SparkSession, sf: str) -> DataFrame:
+    return G.impact(kept(tg_edges(spark, sf)), _ids(spark, "S:5"), "both", 2).select("id", "depth")
+
+
 @query(f"{TG} select id from nodes where path in ('symbol/5', 'page/17', 'module/3') order by id limit 50")
 def path_seeds(spark: SparkSession, sf: str) -> DataFrame:
     return G.at_paths(tg_nodes(spark, sf), spark.createDataFrame([("symbol/5",), ("page/17",), ("module/3",), ("no/such",)], "path string"), 50)
@@ -214,6 +229,12 @@ def change_impact(spark: SparkSession, sf: str) -> DataFrame:
     return G.impact(tg_edges(spark, sf, sub=True), seeds, "inbound", 5).select("id", "depth")
 
 
+@query(f"{TG}, step as ({_IN}), r(id, d) as (select id, 0 from nodes where path in ('symbol/5', 'page/17') union select b, d + 1 from r join step on a = r.id where d < 5) select id, min(d)::int as depth from r group by 1".replace("with ", "with recursive ", 1))
+def change_impact_whole(spark: SparkSession, sf: str) -> DataFrame:
+    seeds = G.at_paths(tg_nodes(spark, sf), spark.createDataFrame([("symbol/5",), ("page/17",)], "path string"), 50)
+    return G.impact(kept(tg_edges(spark, sf)), seeds, "inbound", 5).select("id", "depth")
+
+
 _HOP = """{out} as (select other as id, max(w) as w from (
     select to_id as other, f.w * {weight} as w from (select *, row_number() over (partition by from_id order by id) as k from edges) e join {front} f on f.id = e.from_id where k <= 100
     union all select from_id, f.w * {weight} from (select *, row_number() over (partition by to_id order by id) as k from edges) e join {front} f on f.id = e.to_id where k <= 100) group by 1)"""
@@ -307,19 +328,19 @@ def community_summary(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def suggested_questions(spark: SparkSession, sf: str) -> DataFrame:
-    nodes, edges = tg_nodes(spark, sf), tg_edges(spark, sf, sub=True)
+    nodes, edges = tg_nodes(spark, sf), kept(tg_edges(spark, sf))
     m = I.communities(nodes, edges)
     return G.questions(G.god_nodes(nodes, edges, 3), G.community_summary(nodes, m))
 
 
 @query()
 def communities(spark: SparkSession, sf: str) -> DataFrame:
-    return I.communities(tg_nodes(spark, sf), tg_edges(spark, sf, sub=True))
+    return I.communities(tg_nodes(spark, sf), kept(tg_edges(spark, sf)))
 
 
 @query()
 def connected_components(spark: SparkSession, sf: str) -> DataFrame:
-    return I.components(tg_nodes(spark, sf), G.semantic(tg_edges(spark, sf, sub=True)))
+    return I.components(tg_nodes(spark, sf), G.semantic(tg_edges(spark, sf)))
 
 
 @query(f"""{SUB}, s as (select a, b, min(c) as c from (select from_id as a, to_id as b, 1 / {_W.format('confidence')} as c from edges where kind in {_SEMANTIC} union all select to_id, from_id, 1 / {_W.format('confidence')} from edges where kind in {_SEMANTIC}) group by all),
@@ -331,7 +352,7 @@ def path_distances(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def shortest_path(spark: SparkSession, sf: str) -> DataFrame:
-    return I.shortest_path(tg_edges(spark, sf, sub=True), "S:5", "C:10")
+    return I.shortest_path(tg_edges(spark, sf), "S:5", "C:10")
 
 
 @query(f"{SUB} select least(a.from_id, a.to_id) as a, greatest(a.from_id, a.to_id) as b from edges a join edges b on a.from_id = b.to_id and a.to_id = b.from_id where a.from_id < a.to_id group by all")
@@ -341,9 +362,16 @@ def two_cycles(spark: SparkSession, sf: str) -> DataFrame:
     return e.where("from_id < to_id").join(back, ["from_id", "to_id"], "left_semi").select(F.col("from_id").alias("a"), F.col("to_id").alias("b"))
 
 
+@query(f"{TG} select least(a.from_id, a.to_id) as a, greatest(a.from_id, a.to_id) as b from edges a join edges b on a.from_id = b.to_id and a.to_id = b.from_id where a.from_id < a.to_id group by all")
+def two_cycles_whole(spark: SparkSession, sf: str) -> DataFrame:
+    e = tg_edges(spark, sf).select("from_id", "to_id").distinct()
+    back = e.select(F.col("to_id").alias("from_id"), F.col("from_id").alias("to_id"))
+    return e.where("from_id < to_id").join(back, ["from_id", "to_id"], "left_semi").select(F.col("from_id").alias("a"), F.col("to_id").alias("b"))
+
+
 @query()
 def cycles(spark: SparkSession, sf: str) -> DataFrame:
-    return I.cycles(tg_edges(spark, sf, sub=True))
+    return I.cycles(tg_edges(spark, sf))
 
 
 @query(f"{TG} select id, name from nodes where kind = 'symbol' and regexp_matches(lower(name), '^(main|start|run|handler)$') order by id limit 100")

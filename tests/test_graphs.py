@@ -2,6 +2,7 @@ import pytest
 
 from lorespark.operators import graphs as G
 from lorespark.operators import iterative as I
+from lorespark.plans import graphs as P
 
 NODE, EDGE = "id string, kind string, path string, name string", "id string, kind string, from_id string, to_id string, confidence string"
 
@@ -101,3 +102,39 @@ def test_questions(spark):
         "What depends on hub (src/hub), and what would break if it changed?",
         'What is the shared purpose of the 3 nodes in community "c1" (top terms: alpha, beta)?',
     ]
+
+
+@pytest.fixture(scope="module")
+def star(spark, tmp_path_factory):
+    """A star schema with items of small quantities only: P:17 is joined to S:1, S:5 and C:10 in the whole graph, to nothing in the sub-graph."""
+    at = tmp_path_factory.mktemp("star")
+    tables = {
+        "region": ("r_regionkey int, r_name string", [(0, "r")]),
+        "nation": ("n_nationkey int, n_name string, n_regionkey int", [(1, "n1", 0), (2, "n2", 0)]),
+        "supplier": ("s_suppkey int, s_name string, s_nationkey int", [(1, "s", 1), (5, "s5", 1)]),
+        "customer": ("c_custkey int, c_name string, c_nationkey int", [(1, "c", 2), (10, "c10", 1)]),
+        "part": ("p_partkey int, p_name string", [(1, "p"), (17, "p17")]),
+        "orders": ("o_orderkey int, o_custkey int, o_orderstatus string", [(1, 10, "F")]),
+        "lineitem": ("l_orderkey int, l_partkey int, l_suppkey int, l_quantity double, l_returnflag string", [(1, 17, 5, 1.0, "A"), (1, 17, 1, 2.0, "A")]),
+    }
+    for name, (schema, rows) in tables.items():
+        spark.createDataFrame(rows, schema).write.parquet(f"{at}/{name}.parquet")
+    return str(at)
+
+
+def test_analytics_see_small_quantities_and_mentions(spark, star):
+    part = {r.id: r.component for r in P.connected_components(spark, star).collect()}
+    assert part["S:5"] == part["P:17"] == part["C:10"] == part["N:1"] and part["P:1"] == "P:1"
+    group = {r.node_id: r.community_id for r in P.communities(spark, star).collect()}
+    assert group["P:17"] == group["S:5"] == group["C:10"]
+    way = P.shortest_path(spark, star).orderBy("step").collect()
+    assert [r.node_id for r in way] == ["S:5", "P:17", "C:10"] and way[0].total == pytest.approx(1 + 1 / 0.7)
+    assert any("P:17" in r.cycle for r in P.cycles(spark, star).collect())
+    assert any("the 5 nodes in community" in r.question for r in P.suggested_questions(spark, star).collect())
+
+
+def test_impact_sees_small_quantities_and_mentions(spark, star):
+    near = lambda q: {r.id: r.depth for r in q(spark, star).collect()}
+    assert near(P.impact_both_whole) | {"P:17": 1, "C:10": 2} == near(P.impact_both_whole)
+    assert near(P.impact_inbound_whole) == {"P:17": 0, "S:1": 1, "S:5": 1, "N:1": 2, "C:10": 3, "R:0": 3}
+    assert near(P.change_impact_whole)["S:1"] == 1
