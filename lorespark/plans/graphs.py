@@ -350,6 +350,11 @@ def path_distances(spark: SparkSession, sf: str) -> DataFrame:
     return I.distances(tg_edges(spark, sf, sub=True), "S:5").where("d <= 3")
 
 
+@query()
+def path_distances_whole(spark: SparkSession, sf: str) -> DataFrame:
+    return I.distances(tg_edges(spark, sf), "S:5")
+
+
 @query()
 def shortest_path(spark: SparkSession, sf: str) -> DataFrame:
     return I.shortest_path(tg_edges(spark, sf), "S:5", "C:10")

@@ -138,3 +138,22 @@ def test_impact_sees_small_quantities_and_mentions(spark, star):
     assert near(P.impact_both_whole) | {"P:17": 1, "C:10": 2} == near(P.impact_both_whole)
     assert near(P.impact_inbound_whole) == {"P:17": 0, "S:1": 1, "S:5": 1, "N:1": 2, "C:10": 3, "R:0": 3}
     assert near(P.change_impact_whole)["S:1"] == 1
+
+
+def test_distances_reach_every_node(spark, star):
+    def near(rows):
+        out = {}
+        for r in rows:
+            out.setdefault(r.from_id, []).append((r.to_id, r.id, r.confidence))
+            out.setdefault(r.to_id, []).append((r.from_id, r.id, r.confidence))
+        return out
+
+    ids = [f"{i:03}" for i in range(36)]
+    chain = edges(spark, *((f"e{a}", "calls", a, b, "exact") for a, b in zip(ids, ids[1:])))
+    assert {r.node: r.d for r in I.distances(chain, "000").collect()} == {i: float(k) for k, i in enumerate(ids)}
+    got = {r.node: r.d for r in P.path_distances_whole(spark, star).collect()}
+    ways = near(G.semantic(P.tg_edges(spark, star)).collect())
+    wanted = {n: d for n in ways if (d := I.dijkstra(ways, "S:5", n)) is not None}
+    assert got == pytest.approx(wanted) and {"P:17", "C:10", "N:1"} <= set(got) and not {"C:1", "N:2"} & set(got)
+    pages = G.semantic(P.tg_edges(spark, star)).where("kind in ('calls', 'references')")
+    assert max(r.d for r in I.distances(pages, "S:5").collect()) == 5  # farther than 3
