@@ -108,6 +108,11 @@ def plain(word: str) -> str:
     return word.lower() if word.isascii() else "".join(c for c in unicodedata.normalize("NFKD", word.lower().replace("ø", "o")) if not unicodedata.combining(c))
 
 
+def without_accents(text: str) -> str:
+    """A text as ``plain`` leaves its words, but in its own case."""
+    return text if text.isascii() else "".join(c for c in unicodedata.normalize("NFKD", text.replace("ø", "o").replace("Ø", "O")) if not unicodedata.combining(c))
+
+
 def surname_parts(word: str) -> list[str]:
     """The words of a surname without particles: ``von Wex-Ulm`` has two."""
     return [p for w in plain(word).replace("’", "'").removeprefix("von ").split("-") if (p := w.removeprefix("o'").removeprefix("d'"))]
@@ -317,16 +322,26 @@ class Flags(dict):
 
     def __init__(self, given: frozenset, surnames: frozenset):
         self.given, self.surnames = given, surnames
-        # a name needs a surname in any case, or a given name in capitals
+        # a name needs a surname in any case, or a given name that begins with a capital
+        self.names = ahocorasick.Automaton()
+        for w in given | surnames:
+            self.names.add_word(w, (len(w), w not in surnames))
+        self.names.make_automaton()
         self.automaton = ahocorasick.Automaton()
-        for w in {f(w) for w in surnames for f in (str, str.title, str.upper)} | {f(w) for w in given for f in (str.title, str.upper)}:
-            self.automaton.add_word(w, "name")
         for w in STREET_STARTS:
             self.automaton.add_word(w, "street")
         for w in BARE_WORDS:
             self.automaton.add_word(w, "bare")
         self.automaton.make_automaton()
 
+    def hints_at_name(self, text: str) -> bool:
+        """Whether a text holds a word of the lexicon, with or without its accents; a quick look at letters, not at words."""
+        own = without_accents(text)
+        for end, (n, capital) in self.names.iter(own.lower()):
+            if not capital or own[end - n + 1].isupper():
+                return True
+        return False
+
     def __missing__(self, word: str) -> tuple[bool, bool]:
         out = plain(word) in self.given, any(p in self.surnames for p in surname_parts(word))
         if len(self) < 500_000:
@@ -409,7 +424,7 @@ def candidates(text: str, flag: Flags) -> list[tuple[str, int, int, str]]:
             b = TAIL.match(text, b).end() if expression is not BARE_STREET else b
             out[-1] = ("ADDRESS", a, b, out[-1][3])
             taken.append((a, b))
-    if "name" in hints:
+    if flag.hints_at_name(text):
         out += _names(text, flag, taken)
     return out
 

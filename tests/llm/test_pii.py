@@ -47,6 +47,11 @@ def test_proposed(text, kind, span):
     assert (kind, span) in found(text)
 
 
+@pytest.mark.parametrize("text, span", [("ask H. Ravnhågen about it", "H. Ravnhågen"), ("ask Ravnhågen, H. about it", "Ravnhågen, H."), ("ask torvin ulmvéld about it", "torvin ulmvéld"), ("ask José García about it", "José García"), ("ask H. RAVNHÅGEN about it", "H. RAVNHÅGEN"), ("ask Torvin WexMere about it", "Torvin WexMere")])
+def test_accents_hide_no_name(text, span):
+    assert any(k == "NAME" and s.rstrip(".") == span.rstrip(".") for k, s in found(text))
+
+
 @pytest.mark.parametrize("text", ["Install @kiln/x@1.6.4 first", "Mention @oncall", "ask amber-weaver about Amber Weaver", "2026-03-20T19:30:45Z WARN offset=71", "", "x" * 50_000])
 def test_not_proposed(text):
     assert not {k for k, _ in found(text)} - {"ADDRESS"}
