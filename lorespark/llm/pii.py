@@ -207,44 +207,45 @@ def em(patterns: dict[str, float], rounds: int = 60) -> dict[str, float]:
 
 
 def learn_lexicon(texts: DataFrame) -> tuple[frozenset[str], frozenset[str]]:
-    """The given names and surnames of a corpus (tbl, row_id, text)."""
+    """The given names and surnames of a corpus (tbl, row_id, text). A pair counts once for each distinct text it stands in."""
 
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             seen: Counter = Counter()
             tokens: Counter = Counter()
-            for t in f["text"]:
-                seen.update(name_pairs(t))
+            for t, digest in zip(f["text"], f["digest"]):
+                seen.update((*pair, digest) for pair in name_pairs(t))
                 tokens.update(TOKEN.findall(t))
-            rows = [(a, b, v, n) for (a, b, v), n in seen.items()] + [(w, use, "", n) for (w, use), n in word_uses(tokens).items()]
-            yield pd.DataFrame(rows, columns=["first", "last", "votes", "n"])
+            rows = [(a, b, v, d, n) for (a, b, v, d), n in seen.items()] + [(w, use, "", 0, n) for (w, use), n in word_uses(tokens).items()]
+            yield pd.DataFrame(rows, columns=["first", "last", "votes", "digest", "uses"])
 
-    counted = kept(texts.select("text").mapInPandas(count, "first string, last string, votes string, n bigint").groupBy("first", "last", "votes").agg(F.sum("n").alias("n")))
+    counted = texts.select("text", F.xxhash64("text").alias("digest")).mapInPandas(count, "first string, last string, votes string, digest bigint, uses bigint")
+    counted = kept(counted.groupBy("first", "last", "votes", "digest").agg(F.sum("uses").alias("uses")).groupBy("first", "last", "votes").agg(F.sum("uses").alias("uses"), F.count(F.lit(1)).alias("n")))
     pairs = counted.where("votes <> ''").withColumn("word", F.element_at(F.split("last", "-"), -1))
     # a word is part of the code's names, or an ordinary word, if it stands there more often than in pairs
-    own = pairs.select("n", F.explode(F.array("first", "word")).alias("w")).groupBy("w").agg(F.sum("n").alias("paired"))
-    use = counted.where("votes = ''").groupBy("first").agg(F.sum(F.when(F.col("last") == "code", F.col("n"))).alias("code"), F.sum(F.when(F.col("last") == "lower", F.col("n"))).alias("lower"))
+    own = pairs.select("uses", F.explode(F.array("first", "word")).alias("w")).groupBy("w").agg(F.sum("uses").alias("paired"))
+    use = counted.where("votes = ''").groupBy("first").agg(F.sum(F.when(F.col("last") == "code", F.col("uses"))).alias("code"), F.sum(F.when(F.col("last") == "lower", F.col("uses"))).alias("lower"))
     use = own.join(use, own["w"] == use["first"]).select("w", (F.col("code") * 4 > F.col("paired")).alias("is_code"), (F.col("lower") > F.col("paired")).alias("is_lower"))
     a, b = (use.select(F.col("w").alias(k), F.col("is_code").alias("c" + k), F.col("is_lower").alias("l" + k)) for k in ("first", "word"))
     minus = lambda x, y: F.when(F.coalesce(x, F.lit(False)) | F.coalesce(y, F.lit(False)), "-").otherwise("0")
     pairs = pairs.join(a, "first", "left").join(b, "word", "left")
-    pairs = kept(pairs.select("first", "last", F.concat("votes", minus(F.col("cfirst"), F.col("cword")), minus(F.col("lfirst"), F.col("lword"))).alias("votes"), "n"))
+    pairs = kept(pairs.select("first", "last", F.concat("votes", minus(F.col("cfirst"), F.col("cword")), minus(F.col("lfirst"), F.col("lword"))).alias("votes"), "n", "uses"))
     found = em({r[0]: r[1] for r in pairs.where("last <> ''").groupBy("votes").agg(F.sum("n")).collect()})  # at most 3 ** 6 patterns
     if not found:
         return GIVEN, frozenset()
     spark = texts.sparkSession
     every = pairs.join(F.broadcast(spark.createDataFrame(list(found.items()), "votes string, p double")), "votes", "left")
     scored = every.where("last <> ''")
-    lasts = scored.select(F.explode(F.split("last", "-")).alias("word"), "first", "n", "p").groupBy("word").agg(F.sum("n").alias("n"), (F.sum(F.col("n") * F.col("p")) / F.sum("n")).alias("mean"), F.approx_count_distinct("first").alias("partners"))
-    surnames = lasts.where("mean >= 0.5 and (partners >= 2 or n < 3)")
+    lasts = scored.select(F.explode(F.split("last", "-")).alias("word"), "first", "n", "p").groupBy("word").agg(F.sum("n").alias("n"), (F.sum(F.col("n") * F.col("p")) / F.sum("n")).alias("mean"))
+    surnames = lasts.where("mean >= 0.5")
     # not what stands first more often than last: a second given name
     fronts = scored.groupBy(F.col("first").alias("word")).agg(F.sum(F.col("n") * F.col("p")).alias("front"))
     surnames = kept(surnames.join(fronts, "word", "left").where("coalesce(front, 0) <= n * mean").select("word", "n"))
     # a given name stands before surnames: those found, whatever is around this pair
     known = every.withColumn("p", F.when(F.col("last") == "", 0.0).otherwise(F.col("p"))).withColumn("word", F.element_at(F.split("last", "-"), 1)).join(surnames.select("word", F.lit(1.0).alias("sure")), "word", "left")
-    firsts = known.groupBy("first").agg(F.sum("n").alias("n"), (F.sum(F.col("n") * F.coalesce("sure", F.col("p") * 0.5)) / F.sum("n")).alias("mean"))
+    firsts = known.groupBy("first").agg(F.sum("n").alias("n"), F.sum("uses").alias("uses"), (F.sum(F.col("n") * F.coalesce("sure", F.col("p") * 0.5)) / F.sum("n")).alias("mean"))
     top = lambda df, w: frozenset(r[0] for r in df.orderBy(F.desc("n"), w).select(w).limit(LEXICON).collect())
-    return GIVEN | top(firsts.where("mean >= 0.6 and n >= 2"), "first"), top(surnames, "word")
+    return GIVEN | top(firsts.where("mean >= 0.6 and uses >= 2"), "first"), top(surnames, "word")
 
 
 # 2. Candidates

@@ -104,3 +104,15 @@ def test_redaction_counts_code_points(spark):
     mentions = spark.createDataFrame([("d", 1, "EMAIL", 3, 14), ("d", 1, "NAME", 5, 9), ("d", 2, "NAME", 100_001, 100_004)], "tbl string, row_id bigint, pii_type string, start_pos int, end_pos int")
     got = {r.row_id: r.text for r in pii.redact(texts, mentions).collect()}
     assert got[1] == "🧵é [EMAIL] 🧵 x" and got[2] == "z" * 100_000 + " [NAME]"
+
+
+def test_surname_with_one_given_name(spark):
+    """It is learned at any count, and copies of a text count once."""
+    rows, _ = corpus(60)
+    own = [("documents", 1000 + i, f"Note {i}: please ask Chidi Okafor about amber-weaver.") for i in range(5)]
+    copies = [("documents", 2000 + i, "Restart Frobel Quandril in the cluster.") for i in range(300)]
+    for texts in (rows + own, rows + own[:1], rows + own + own[:1] * 200):
+        given, surnames = pii.learn_lexicon(spark.createDataFrame(texts, TEXT))[:2]
+        assert "okafor" in surnames
+    one, many = (pii.learn_lexicon(spark.createDataFrame(rows + own + copies[:k], TEXT))[1] for k in (1, 300))
+    assert one == many and "okafor" in many
