@@ -71,6 +71,8 @@ _DOT = r"(?:[.．]|\s?[(\[{]\s?dot\s?[)\]}]\s?|\s+dot\s+)"
 _HOST = rf"[^\W_](?:[\w-]*[^\W_])?(?:{_DOT}[^\W_](?:[\w-]*[^\W_])?)+"
 EMAIL = re.compile(rf"(?<![\w@/.+-])([^\W_][\w.%+'-]*(?:\s+dot\s+[\w+-]+)*?)(\s?[@＠]\s?|\s?[(\[{{]\s?at\s?[)\]}}]\s?|\s+at\s+(?=[\w-]+\s+dot\s))({_HOST})", re.I)
 DIGITS = re.compile(r"(?<![\w.:/#-])(?:[+＋]\s?|\((?=\d{2,4}\)))?\d(?:[\d().\-/   ‑–]*\d)?(?![\w])")
+DATE = re.compile(r"(?<!\d)(?:\d{4}([-./])\d{1,2}\1\d{1,2}|\d{1,2}([-./])\d{1,2}\2\d{4})(?!\d)")
+DIGIT_RUN = re.compile(r"(?:[+＋]\s?)?(?:\((?=\d+\)))?\d+\)?")
 CODES = (re.compile(r"[A-Z]{1,6}[ -]?\d[0-9A-Z -]{4,14}[0-9A-Z](?![\w-])"), re.compile(r"(?=\d{8})(?<!\d)\d{8}[ -]?[A-Z](?![\w-])"))
 CODE_SHAPES = re.compile(r"[A-Z]{6}\d{2}[A-Z]\d{2}[A-Z]\d{3}[A-Z]|[A-Z]{2}[ -]?\d{2}[ -]?\d{2}[ -]?\d{2}[ -]?[A-D]|[XYZKLM][ -]?\d{7}[ -]?[A-Z]|[A-Z]{1,2}\d{7,9}|\d{8}[ -]?[A-Z]")
 _NUMBER = r"\d{1,4}(?:\s?(?:bis|ter|quater)\b|[a-zA-Z]\b)?"
@@ -350,6 +352,57 @@ class Flags(dict):
         return out
 
 
+def shape(s: str, n: int) -> tuple[bool, bool, bool]:
+    """(international prefix, shape of an identity number, national shape) of a digit group of n digits."""
+    prefix = s[0] in "+＋" or n >= 11 and bool(re.match(r"00[1-9]", s))
+    id_shape = bool(re.fullmatch(r"\d{3}([- ])\d{2}\1\d{4}|\d{2} \d{3} \d{3} \d{3}|\d{11}|\d{8,10}", s))
+    national = not id_shape and bool(re.fullmatch(r"(?:\(\d{3}\) ?\d{3}-\d{4}|\d{3}[.-]\d{3}[.-]\d{4}|0[1-9]\d{0,3}[ /-]?[\d -]{6,12}|\d{3} \d{3} \d{4})", s))
+    return prefix, id_shape, national
+
+
+def digit_groups(text: str) -> Iterator[tuple[int, int, int]]:
+    """(start, end, digits) of the groups of 8 to 15 digits.
+
+    A longer one is several: its dates are taken out, and the rest is cut at separators so that parts of a known shape cover
+    most digits, then any parts. A run of digits is never cut.
+    """
+    for m in DIGITS.finditer(text):
+        if m.end() - m.start() < 8:
+            continue
+        n = sum(map(str.isdigit, m.group()))
+        if n <= 15:
+            if n >= 8:
+                yield m.start(), m.end(), n
+            continue
+        at = m.start()
+        for a, b in [*((d.start(), d.end()) for d in DATE.finditer(text, m.start(), m.end())), (m.end(), m.end())]:
+            yield from _parts(text, [(r.start(), r.end()) for r in DIGIT_RUN.finditer(text, at, a)])
+            at = b
+
+
+def _parts(text: str, runs: list[tuple[int, int]]) -> list[tuple[int, int, int]]:
+    """The parts of 8 to 15 digits of consecutive runs of digits, by dynamic programming."""
+    best: list[tuple[float, int, tuple | None]] = [(0.0, 0, None)]  # value, the runs before the last part, the last part
+    for j in range(len(runs)):
+        value, back, part = best[j][0], j, None
+        n = 0
+        for i in range(j, -1, -1):
+            n += sum(map(str.isdigit, text[runs[i][0] : runs[i][1]]))
+            if n > 15:
+                break
+            if n >= 8:
+                a, b = runs[i][0], runs[j][1] - (text[runs[j][1] - 1] == ")")
+                gain = best[i][0] + n * (1 if any(shape(text[a:b], n)) else 0.1) - 0.01
+                if gain > value:
+                    value, back, part = gain, i, (a, b, n)
+        best.append((value, back, part))
+    out, j = [], len(runs)
+    while j:
+        _, j, part = best[j] if best[j][2] else (0, j - 1, None)
+        out += [part] if part else []
+    return out[::-1]
+
+
 def candidates(text: str, flag: Flags) -> list[tuple[str, int, int, str]]:
     """(type, start, end, votes) of everything in a text that may be personal."""
     hints = {kind for _, kind in flag.automaton.iter(text)}
@@ -391,20 +444,14 @@ def candidates(text: str, flag: Flags) -> list[tuple[str, int, int, str]]:
         before = text[max(0, a - 40) : a]
         out.append(("ID", a, b, vote(1 if ID_WORDS.search(before) else -1 if THING_WORDS.search(before) else 0, 1, 0, -1 if re.match(r"[-_/.]\w", text[b : b + 2]) else 1)))
         taken.append((a, b))
-    for m in DIGITS.finditer(text):
-        a, b = m.span()
-        if b - a < 8:
-            continue
-        s = m.group()
-        n = sum(map(str.isdigit, s))
-        if not 8 <= n <= 15 or any(a < e and x < b for x, e in taken):
+    for a, b, n in digit_groups(text):
+        s = text[a:b]
+        if any(a < e and x < b for x, e in taken):
             continue
         before, after = text[max(0, a - 40) : a], text[b : b + 12]
         id_said, phone_said, thing = ID_WORDS.search(before), PHONE_WORDS.search(before), THING_WORDS.search(before)
         dated = NOT_PHONE.match(s)
-        prefix = s[0] in "+＋" or n >= 11 and bool(re.match(r"00[1-9]", s))
-        id_shape = bool(re.fullmatch(r"\d{3}([- ])\d{2}\1\d{4}|\d{2} \d{3} \d{3} \d{3}|\d{11}|\d{8,10}", s))
-        national = not id_shape and bool(re.fullmatch(r"(?:\(\d{3}\) ?\d{3}-\d{4}|\d{3}[.-]\d{3}[.-]\d{4}|0[1-9]\d{0,3}[ /-]?[\d -]{6,12}|\d{3} \d{3} \d{4})", s))
+        prefix, id_shape, national = shape(s, n)
         if not (prefix or national or id_shape or id_said or phone_said or thing):
             continue
         out.append(("PHONE", a, b, vote(1 if phone_said and not id_said else -1 if id_said else 0, -1 if thing else 0, 1 if prefix else 0, 1 if national or prefix else -1, -1 if dated or re.match(r"[-_.]?\w", after) else 0, 1 if 9 <= n <= 13 else -1, -1 if id_shape else 0)))

@@ -52,6 +52,21 @@ def test_accents_hide_no_name(text, span):
     assert any(k == "NAME" and s.rstrip(".") == span.rstrip(".") for k, s in found(text))
 
 
+@pytest.mark.parametrize(
+    "text, spans",
+    [
+        ("Tel. 030 1234567 / 0171 2345678", ["030 1234567", "0171 2345678"]),
+        ("call 212 555 0142 - 646 555 0199 now", ["212 555 0142", "646 555 0199"]),
+        ("seen 2026-01-05 020 7946 0958 there", ["020 7946 0958"]),
+        ("call +44 20 7946 0958 020 7946 0123", ["+44 20 7946 0958", "020 7946 0123"]),
+        ("call (205) 555-0131 / (205) 555-0199", ["(205) 555-0131", "(205) 555-0199"]),
+        ("sum 12345678901234567890", []),
+    ],
+)
+def test_numbers_in_one_group_of_digits(text, spans):
+    assert {s for k, s in found(text) if k == "PHONE"} == set(spans)
+
+
 @pytest.mark.parametrize("text", ["Install @kiln/x@1.6.4 first", "Mention @oncall", "ask amber-weaver about Amber Weaver", "2026-03-20T19:30:45Z WARN offset=71", "", "x" * 50_000])
 def test_not_proposed(text):
     assert not {k for k, _ in found(text)} - {"ADDRESS"}
