@@ -94,7 +94,9 @@ TAIL = re.compile(r"(?: [A-ZÀ-Þ][\w'’-]+(?=,))?(?:,\s(?:Apt\.?\s\w+|\d+\.º\
 # The street words of NUMBER_FIRST; and words of which one stands in everything that STREET_FIRST finds.
 STREET_WORDS = frozenset("Lane Road Street Avenue Terrace Drive Close Court Crescent Square Boulevard Parkway St Ave Blvd Rd Ln Dr".split())
 STREET_STARTS = tuple("straße|strasse|str. |weg |gasse |platz |allee |ring |damm |ufer |steig |Am |An de|Auf de|Im |In de|Zu|Unter|Alte|Neue|Obere|Große|Kleine|Via|Piazza|Corso|Vicolo|Largo|Calle|Paseo|Avenida|Plaza|Camino|Carrera|Ronda|Box |Postfach|Casella|Apartado|Boîte".split("|"))
-STREET_QUICK = re.compile(r"[a-zß.x] \d{1,4}\b")
+# What stands in everything that STREET_FIRST finds: a blank of any kind before a number, after a letter or another sign of its words.
+STREET_QUICK = re.compile(r"[\w'’.-]\s\d")
+SPACES = [c for c in map(chr, range(0x3001)) if re.match(r"\s", c)]
 POSTCODE = re.compile(r"^[,\s]{0,3}(?:[^\n,]{0,12},\s)?(?:\d{5}\b|[A-ZÀ-Þ][\w'’-]+(?: [A-Z]\w+)?(?:\s\d{5}\b|[.,\n]|\s))")
 WORD = re.compile(r"(?:[OoDd]['’])?[^\W\d_]+(?:[-][^\W\d_]+)*")
 NOT_PHONE = re.compile(r"\d{4}-\d{2}-\d{2}|(?:\d{1,3}\.){3}\d{1,3}$|\d{1,2}[./]\d{1,2}[./]\d{4}$|\d{4}\.\d|\d+[.,]\d+$")
@@ -332,7 +334,8 @@ class Flags(dict):
         self.names.make_automaton()
         self.automaton = ahocorasick.Automaton()
         for w in STREET_STARTS:
-            self.automaton.add_word(w, "street")
+            for c in SPACES if " " in w else " ":
+                self.automaton.add_word(w.replace(" ", c), "street")
         for w in BARE_WORDS:
             self.automaton.add_word(w, "bare")
         self.automaton.make_automaton()

@@ -67,6 +67,11 @@ def test_numbers_in_one_group_of_digits(text, spans):
     assert {s for k, s in found(text) if k == "PHONE"} == set(spans)
 
 
+@pytest.mark.parametrize("span", ["Postfach 10234", "P.O. Box 45012", "Via Libertà 12", "Apartado de correos 70123", "Lindenweg\u00a012", "Am\u00a0Markt 3", "Calle O’Donnell’ 7", "Hafenring\n4"])
+def test_address_alone_in_its_text(span):
+    assert ("ADDRESS", span) in found(f"send it to {span}")
+
+
 @pytest.mark.parametrize("text", ["Install @kiln/x@1.6.4 first", "Mention @oncall", "ask amber-weaver about Amber Weaver", "2026-03-20T19:30:45Z WARN offset=71", "", "x" * 50_000])
 def test_not_proposed(text):
     assert not {k for k, _ in found(text)} - {"ADDRESS"}
