@@ -22,7 +22,7 @@ import re
 import unicodedata
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import chain
 
 import ahocorasick
@@ -62,7 +62,17 @@ PERSON_BEFORE = re.compile(
 THING_BEFORE = re.compile(r"\b(?:in|into|with|both|via|inside|see|use|restart|function|renamed|dans|en|nel|open|called|cluster|at|on|gilt|than|about|between|of the)\s+$", re.I)
 PERSON_AFTER = re.compile(r"^(?:\s*<|['’]s (?:badge|laptop|account|desk)|\s+(?:owns|said that|left the team|wants|said)\b|,? (?:tel|tél|phone)|,? [(（]?[+0(]\d|\s?[(（][\w.+-]+ ?[@＠(\[]|, the \w+ \w+ \w+ is back| \| )", re.I)
 PARTICLES = frozenset(("von", "van", "de", "di", "the", "and"))
-PAIR = re.compile(r"(?<![\w-])(?=([A-Z][a-zß-ÿ]{2,})(?: [A-Z]\.)? ((?:[vV]on )?(?:[OD]['’])?[A-Z][a-zß-ÿø]{2,}(?:-[A-Z][a-zß-ÿ]{2,})?)(?![\w-]))[A-Z]")
+
+
+def _letters(kind: Callable[[str], bool]) -> str:
+    """The ranges of a character class of all letters of a kind."""
+    at = [i for i in range(0x10000) if kind(chr(i)) and chr(i).isalpha()]
+    starts, ends = [i for i, j in zip(at, [-1, *at]) if i != j + 1], [i for i, j in zip(at, [*at[1:], -1]) if j != i + 1]
+    return "".join(f"{chr(a)}-{chr(b)}" for a, b in zip(starts, ends))
+
+
+_UP, _LOW = _letters(str.isupper), _letters(str.islower)
+PAIR = re.compile(rf"(?<![\w-])(?=([{_UP}][{_LOW}]+)(?: [{_UP}]\.)? ((?:[vV]on )?(?:[OD]['’])?[{_UP}][{_LOW}]+(?:-[{_UP}][{_LOW}]+)?)(?![\w-]))[{_UP}]")
 # Words and identifiers; what goes on after a dot, a sign or an underscore is an address or a file name and says nothing.
 TOKEN = re.compile(r"[^\W\d_]+(?:-[^\W\d_]+)*(?:[@＠.+_]\w)?")
 CAMEL = re.compile(r"[a-z]+(?:[A-Z][a-z]{2,}){1,4}")
@@ -288,7 +298,7 @@ def _names(text: str, flag: Flags, taken: list[tuple[int, int]]) -> Iterator[tup
                 if j + 1 < n and tokens[j][0].lower() in ("von", "van", "de", "di") and text[tokens[j][2] : tokens[j + 1][1]] == " ":
                     j += 1
                 w2 = tokens[j][0]
-                if flags[j][1] or is_given and w2[:1].isupper() and (len(w2) > 3) and not flags[j][0] and (w[:1].isupper()):
+                if flags[j][1] or is_given and w2[:1].isupper() and len(w2) > 1 and not flags[j][0] and (w[:1].isupper()):
                     last, kind = j, 1
         if last is None and (is_surname or w.lower() == "von" and i + 1 < n and flags[i + 1][1]):
             j = i + (w.lower() == "von" and not is_surname)
@@ -343,8 +353,13 @@ class Flags(dict):
     def hints_at_name(self, text: str) -> bool:
         """Whether a text holds a word of the lexicon, with or without its accents; a quick look at letters, not at words."""
         own = without_accents(text)
-        for end, (n, capital) in self.names.iter(own.lower()):
-            if not capital or own[end - n + 1].isupper():
+        low = own.lower()
+        for end, (n, capital) in self.names.iter(low):
+            start = end - n + 1
+            # words of two letters stand within most others
+            if n < 3 and (low[start - 1 : start].isalpha() or low[end + 1 : end + 2].isalpha()):
+                continue
+            if not capital or own[start].isupper():
                 return True
         return False
 

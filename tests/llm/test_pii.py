@@ -136,3 +136,14 @@ def test_surname_with_one_given_name(spark):
         assert "okafor" in surnames
     one, many = (pii.learn_lexicon(spark.createDataFrame(rows + own + copies[:k], TEXT))[1] for k in (1, 300))
     assert one == many and "okafor" in many
+
+
+def test_two_letter_and_unicode_names(spark):
+    assert ("NAME", "Wei Xu") in found("please ask Wei Xu about it") and ("NAME", "Anna Li") in found("ask Anna Li about it")
+    rows, _ = corpus(60)
+    own = [("documents", 1000 + i, f"Note {i}: please ask {n} about amber-weaver.") for i, n in enumerate(("Wei Xu", "Anna Xu", "Anna Öztürk", "Hugo Öztürk", "Marta Łuczak", "Anna Łuczak", "Łucja Ulmveld", "Łucja Wexmere"))]
+    given, surnames = pii.learn_lexicon(spark.createDataFrame(rows + own, TEXT))[:2]
+    assert {"xu", "ozturk", "łuczak"} <= surnames and "łucja" in given
+    flag = pii.Flags(given, surnames)
+    for text, span in (("ask Xu, Anna about it", "Xu, Anna"), ("ask H. Öztürk about it", "H. Öztürk"), ("ask marta łuczak about it", "marta łuczak")):
+        assert ("NAME", span) in {(k, text[a:b]) for k, a, b, _ in pii.candidates(text, flag)}
