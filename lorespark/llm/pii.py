@@ -22,7 +22,7 @@ import re
 import unicodedata
 import zlib
 from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from itertools import chain
 
 import ahocorasick
@@ -36,7 +36,7 @@ from lorespark.sources.shared import kept, spread
 TYPES = ("EMAIL", "PHONE", "ID", "ADDRESS", "NAME")
 #: Candidates that the span model is trained on, at most about this many for all types.
 TRAINED_ON = 30_000
-#: Words of the learned lexicon that are sent to the workers, the most frequent first; a vocabulary's size, not the corpus's.
+#: Words of the learned lexicon that are sent to all workers, the most frequent first; rarer ones are joined to the texts that hold them.
 LEXICON = 200_000
 DIMS = 1 << 13
 
@@ -220,8 +220,11 @@ def em(patterns: dict[str, float], rounds: int = 60) -> dict[str, float]:
     return dict(zip(names, p.tolist()))
 
 
-def learn_lexicon(texts: DataFrame) -> tuple[frozenset[str], frozenset[str]]:
-    """The given names and surnames of a corpus (tbl, row_id, text). A pair counts once for each distinct text it stands in."""
+def learn_lexicon(texts: DataFrame) -> tuple[frozenset[str], frozenset[str], DataFrame | None]:
+    """The given names and surnames of a corpus (tbl, row_id, text), of each the LEXICON most frequent, and the rest as (word, is_surname), if any.
+
+    A pair counts once for each distinct text it stands in.
+    """
 
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
@@ -246,7 +249,7 @@ def learn_lexicon(texts: DataFrame) -> tuple[frozenset[str], frozenset[str]]:
     pairs = kept(pairs.select("first", "last", F.concat("votes", minus(F.col("cfirst"), F.col("cword")), minus(F.col("lfirst"), F.col("lword"))).alias("votes"), "n", "uses"))
     found = em({r[0]: r[1] for r in pairs.where("last <> ''").groupBy("votes").agg(F.sum("n")).collect()})  # at most 3 ** 6 patterns
     if not found:
-        return GIVEN, frozenset()
+        return GIVEN, frozenset(), None
     spark = texts.sparkSession
     every = pairs.join(F.broadcast(spark.createDataFrame(list(found.items()), "votes string, p double")), "votes", "left")
     scored = every.where("last <> ''")
@@ -258,8 +261,34 @@ def learn_lexicon(texts: DataFrame) -> tuple[frozenset[str], frozenset[str]]:
     # a given name stands before surnames: those found, whatever is around this pair
     known = every.withColumn("p", F.when(F.col("last") == "", 0.0).otherwise(F.col("p"))).withColumn("word", F.element_at(F.split("last", "-"), 1)).join(surnames.select("word", F.lit(1.0).alias("sure")), "word", "left")
     firsts = known.groupBy("first").agg(F.sum("n").alias("n"), F.sum("uses").alias("uses"), (F.sum(F.col("n") * F.coalesce("sure", F.col("p") * 0.5)) / F.sum("n")).alias("mean"))
-    top = lambda df, w: frozenset(r[0] for r in df.orderBy(F.desc("n"), w).select(w).limit(LEXICON).collect())
-    return GIVEN | top(firsts.where("mean >= 0.6 and uses >= 2"), "first"), top(surnames, "word")
+    firsts = kept(firsts.where("mean >= 0.6 and uses >= 2").select(F.col("first").alias("word"), "n"))
+    tops, rest = [], None
+    for is_surname, words in enumerate((firsts, surnames)):
+        rows = words.orderBy(F.desc("n"), "word").limit(LEXICON + 1).collect()
+        tops.append(frozenset(r["word"] for r in rows[:LEXICON]))
+        if len(rows) > LEXICON:
+            n, word = rows[LEXICON - 1]["n"], rows[LEXICON - 1]["word"]  # the last that is sent
+            more = words.where((F.col("n") < n) | (F.col("n") == n) & (F.col("word") > word)).select("word", F.lit(bool(is_surname)).alias("is_surname"))
+            rest = more if rest is None else rest.union(more)
+    return GIVEN | tops[0], tops[1], rest
+
+
+def with_rare_words(texts: DataFrame, rest: DataFrame) -> DataFrame:
+    """Texts with the rare names (rare_given, rare_surnames) that stand in them: a join of their words with the lexicon's rest."""
+
+    def split(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            rows = []
+            for tbl, row, t in zip(f["tbl"], f["row_id"], f["text"]):
+                words = set(WORD.findall(t))
+                rows += [(tbl, row, w, True) for w in {p for x in words for p in surname_parts(x)}] + [(tbl, row, w, False) for w in set(map(plain, words))]
+            yield pd.DataFrame(rows, columns=["tbl", "row_id", "word", "is_surname"])
+
+    words = texts.mapInPandas(split, "tbl string, row_id bigint, word string, is_surname boolean")
+    own = words.join(rest, ["word", "is_surname"]).groupBy("tbl", "row_id")
+    own = own.agg(*(F.collect_set(F.when(F.col("is_surname") == s, F.col("word"))).alias(c) for s, c in ((False, "rare_given"), (True, "rare_surnames"))))
+    at = [texts[c].eqNullSafe(own[c]) for c in ("tbl", "row_id")]
+    return texts.join(own, at, "left").select(texts["tbl"], texts["row_id"], texts["text"], "rare_given", "rare_surnames")
 
 
 # 2. Candidates
@@ -350,6 +379,9 @@ class Flags(dict):
             self.automaton.add_word(w, "bare")
         self.automaton.make_automaton()
 
+    def beside(self, given: Iterable[str], surnames: Iterable[str]) -> RareFlags:
+        return RareFlags(self, frozenset(given), frozenset(surnames))
+
     def hints_at_name(self, text: str) -> bool:
         """Whether a text holds a word of the lexicon, with or without its accents; a quick look at letters, not at words."""
         own = without_accents(text)
@@ -370,6 +402,18 @@ class Flags(dict):
         return out
 
 
+class RareFlags(dict):
+    """Flags with the rare names of one text."""
+
+    def __init__(self, flags: Flags, given: frozenset, surnames: frozenset):
+        self.flags, self.given, self.surnames, self.automaton = flags, given, surnames, flags.automaton
+
+    def __missing__(self, word: str) -> tuple[bool, bool]:
+        given, surname = self.flags[word]
+        self[word] = given or plain(word) in self.given, surname or any(p in self.surnames for p in surname_parts(word))
+        return self[word]
+
+
 def shape(s: str, n: int) -> tuple[bool, bool, bool]:
     """(international prefix, shape of an identity number, national shape) of a digit group of n digits."""
     prefix = s[0] in "+＋" or n >= 11 and bool(re.match(r"00[1-9]", s))
@@ -421,8 +465,8 @@ def _parts(text: str, runs: list[tuple[int, int]]) -> list[tuple[int, int, int]]
     return out[::-1]
 
 
-def candidates(text: str, flag: Flags) -> list[tuple[str, int, int, str]]:
-    """(type, start, end, votes) of everything in a text that may be personal."""
+def candidates(text: str, flag: Flags, rare: bool = False) -> list[tuple[str, int, int, str]]:
+    """(type, start, end, votes) of everything in a text that may be personal. rare: it is known to hold a name of the lexicon."""
     hints = {kind for _, kind in flag.automaton.iter(text)}
     out: list[tuple[str, int, int, str]] = []
     taken: list[tuple[int, int]] = []
@@ -490,7 +534,7 @@ def candidates(text: str, flag: Flags) -> list[tuple[str, int, int, str]]:
             b = TAIL.match(text, b).end() if expression is not BARE_STREET else b
             out[-1] = ("ADDRESS", a, b, out[-1][3])
             taken.append((a, b))
-    if flag.hints_at_name(text):
+    if rare or flag.hints_at_name(text):
         out += _names(text, flag, taken)
     return out
 
@@ -544,18 +588,22 @@ def find_mentions(texts: DataFrame, trained_on: int = TRAINED_ON) -> DataFrame:
     """
     spark = texts.sparkSession
     texts = spread(texts.where("text is not null and text <> ''").select("tbl", "row_id", "text"))
-    lexicon = spark.sparkContext.broadcast(learn_lexicon(texts))
+    given, surnames, rest = learn_lexicon(texts)
+    lexicon = spark.sparkContext.broadcast((given, surnames))
+    read = texts if rest is None else with_rare_words(texts, rest)
 
     def propose(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         flag = Flags(*lexicon.value)
         for f in frames:
             rows = []
-            for tbl, row, t in zip(f["tbl"], f["row_id"], f["text"]):
-                for kind, a, b, v in candidates(t, flag):
+            none = [None] * len(f)
+            for tbl, row, t, given, surnames in zip(f["tbl"], f["row_id"], f["text"], f.get("rare_given", none), f.get("rare_surnames", none)):
+                rare = given is not None
+                for kind, a, b, v in candidates(t, flag.beside(given, surnames) if rare else flag, rare):
                     rows.append((tbl, row, kind, a, b, v, t[a:b][:80], t[max(0, a - 24) : a], t[b : b + 12]))
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in _CANDIDATE.split(", ")])
 
-    proposed = kept(texts.mapInPandas(propose, _CANDIDATE))
+    proposed = kept(read.mapInPandas(propose, _CANDIDATE))
     by_type: dict[str, dict[str, float]] = {}
     for kind, votes, n in proposed.groupBy("pii_type", "votes").count().collect():  # at most 3 ** 6 patterns a type
         by_type.setdefault(kind, {})[votes] = n

@@ -147,3 +147,14 @@ def test_two_letter_and_unicode_names(spark):
     flag = pii.Flags(given, surnames)
     for text, span in (("ask Xu, Anna about it", "Xu, Anna"), ("ask H. Öztürk about it", "H. Öztürk"), ("ask marta łuczak about it", "marta łuczak")):
         assert ("NAME", span) in {(k, text[a:b]) for k, a, b, _ in pii.candidates(text, flag)}
+
+
+def test_no_name_is_lost_beyond_the_lexicon_sent(spark, monkeypatch):
+    rows, _ = corpus(60)
+    own = [("documents", 1000 + i, t) for i, t in enumerate(("It is by R. Ulmveld, they say.", "ask Yarrova, Z. about it", "ask zerelle brimsley about it"))]
+    texts = spark.createDataFrame(rows + own, TEXT)
+    key = lambda: {tuple(r)[:5] for r in pii.find_mentions(texts).collect()}
+    whole = key()
+    assert {r[1] for r in whole if r[2] == "NAME"} >= {1000, 1001, 1002}
+    monkeypatch.setattr(pii, "LEXICON", 1)
+    assert pii.learn_lexicon(texts)[2].count() > 0 and key() == whole
