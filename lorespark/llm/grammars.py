@@ -135,7 +135,7 @@ MemberRest = Modifier* PropertyName Signature Body | Accessor PropertyName Signa
 Modifier = 'async' @same | '*' ;
 Accessor = 'get' | 'set' ;
 PropertyName = AnyName | STRING | NUMBER | PRIVATE | '[' Assign ']' ;
-Statement = Body | Variable | ';' | Expression Semi | 'if' '(' Expression ')' Statement ('else' Statement)? | 'do' Statement 'while' '(' Expression ')' ';'?
+Statement = Body | Variable | ';' | Expression Semi | 'if' '(' Expression ')' Statement ('else' Statement | @noelse) | 'do' Statement 'while' '(' Expression ')' ';'?
   | 'while' '(' Expression ')' Statement | 'for' '(' ForHead ')' Statement | 'for' 'await' '(' ForBind 'of' Assign ')' Statement
   | 'continue' (@same Name)? Semi | 'break' (@same Name)? Semi | 'return' (@same Expression)? Semi | 'throw' @same Expression Semi
   | 'switch' '(' Expression ')' '{' SwitchCase* '}' | Name ':' Statement | 'debugger' Semi
@@ -225,8 +225,8 @@ TypeMembers = TypeMember (TypeEnd TypeMember)* TypeEnd? ;
 TypeEnd = ';' | ',' | @end ;
 TypeMember = 'readonly'? (PropertyName '?'? Typed? | IndexSignature) | ('get' | 'set')? PropertyName '?'? Signature | 'new'? Signature ;
 Arrow = 'async'? TypeParams '(' Parameters ')' (':' ReturnType)? @same '=>' ArrowBody ;
-Binary = Binary ('as' | 'satisfies') Type (BinaryOp Unary)* ;
-Unary = '<' Type '>' Unary ;
+Binary = Binary ('as' ('const' | Type) | 'satisfies' Type) (BinaryOp Unary)* ;
+Unary = '<' ('const' | Type) '>' Unary ;
 LeftSide = LeftSide @same '!' ;
 Suffix = TypeArgs Args | TypeArgs Template | '?.' TypeArgs Args ;
 NewTarget = LeftSide TypeArgs ;
@@ -324,7 +324,7 @@ TypeArg = Type | Annotation* '?' (('extends' | 'super') Type)? ;
 Block = '{' BlockStatement* '}' ;
 BlockStatement = LocalVar ';' | TypeDecl | Statement ;
 LocalVar = ParamModifier* Type Declarator (',' Declarator)* ;
-Statement = Block | ';' | NAME ':' Statement | StatementExpression ';' | 'if' '(' Expression ')' Statement ('else' Statement)? | 'assert' Expression (':' Expression)? ';'
+Statement = Block | ';' | NAME ':' Statement | StatementExpression ';' | 'if' '(' Expression ')' Statement ('else' Statement | @noelse) | 'assert' Expression (':' Expression)? ';'
   | Switch | 'while' '(' Expression ')' Statement | 'do' Statement 'while' '(' Expression ')' ';' | 'break' NAME? ';' | 'continue' NAME? ';' | 'yield' Expression ';'
   | 'return' Expression? ';' | 'throw' Expression ';' | 'synchronized' '(' Expression ')' Block
   | 'for' '(' ForInit? ';' Expression? ';' (Expression (',' Expression)*)? ')' Statement | 'for' '(' ParamModifier* Type NAME ':' Expression ')' Statement

@@ -1,6 +1,7 @@
 import ast
 import json
 import subprocess
+import time
 import tomllib
 import warnings
 
@@ -30,6 +31,7 @@ GOOD = {
     "typescript": [
         "export abstract class A<T extends B = C> implements D { private readonly x?: T[]; constructor(public y: string, z?: number) {} abstract m(): void; [k: string]: any }",
         "type M<T> = { readonly [K in keyof T as `x${K}`]?: T[K] extends (infer U)[] ? U : never }; declare module 'm' { export const x: number }",
+        "let x = y as const; const a = [1, 2] as const, b = {c: 1} as const satisfies D\nlet t = <const>['a'], u = e as unknown as F[] as const",
         "function f<T>(this: A, ...r: [a: string, b?: number]): r is X { return <any>r as unknown as T }\nenum E { A = 1, B }\nlet v = x! satisfies Y<Z<W>>;",
     ],
     "go": ['package p\nimport (\n\t"fmt"\n\t. "x"\n)\ntype S[T any] struct {\n\ta, b int `t`\n\t*E\n}\nfunc (s *S[T]) F(x ...int) (r <-chan int, err error) {\n\tif v, ok := m[k]; !ok { goto L }\nL:\n\tswitch t := v.(type) { case int, *S: default: }\n\tselect { case x := <-c: case c <- 1: }\n\tfor i := range 10 { defer func() { _ = []int{1: 2} }() }\n\treturn\n}\n'],
@@ -111,6 +113,53 @@ def test_shell_agrees_with_bash(text):
     assert (error_line("shell", text) is None) == (bash.returncode == 0)
 
 
+def repeated(n):
+    """Files with n elements of each kind of list and chain."""
+    numbers = ", ".join(map(str, range(n)))
+    return {
+        "json": [f"[{numbers}]"],
+        "toml": [f"x = [{numbers},]\n", "".join(f"k{i} = {i}\n" for i in range(n))],
+        "yaml": [f"x: [{numbers}]\n", "".join(f"- a: {i}\n" for i in range(n))],
+        "python": [f"x = [{numbers}]\n", f"f({numbers},)\n", "f(" + ", ".join(f"g({i}, a.b[{i}], k={i})" for i in range(n)) + ")\n", "x = " + " + ".join(f"a{i}" for i in range(n)) + "\n", "if a: pass\n" + "".join(f"elif a == {i}: pass\n" for i in range(n))],
+        "javascript": [f"const x = [{numbers},];\n", "x = {" + ", ".join(f"a{i}: [{i}]" for i in range(n)) + ",};\n", "if (a) x();" + "".join(f" else if (x === {i}) y({i});" for i in range(n)), "x" + "".join(f".f({i})" for i in range(n)) + "\n", "x = " + "".join(f"a{i} ? {i} : " for i in range(n)) + "0\n"],
+        "typescript": [f"const x = [{numbers},] as const;\n", "type U = " + " | ".join(f"'{i}'" for i in range(n)) + ";\n", "interface I {\n" + "".join(f"a{i}: string\n" for i in range(n)) + "}\n"],
+        "go": [f"package p\nvar x = []int{{{numbers},}}\n", "package p\nfunc f() {\n" + "".join(f"x{i} := f({i})\n" for i in range(n)) + "}\n"],
+        "java": [f"class A {{ int[] x = {{{numbers},}}; }}\n", "class A { void f() {" + "".join(f"if (x == {i}) y(); else " for i in range(n)) + ";}}\n", "enum E {" + ", ".join(f"A{i}({i})" for i in range(n)) + "}\n"],
+        "shell": [f"x=({numbers.replace(',', '')})\n", "".join(f"echo {i} | cat\n" for i in range(n))],
+    }
+
+
+@pytest.mark.parametrize("language", sorted(GOOD))
+def test_work_grows_in_proportion(language):
+    """Twenty times the elements take about twenty times as long, not four hundred times."""
+    for short, long in zip(repeated(300)[language], repeated(6000)[language]):
+        took = []
+        for text in (short, short, long):
+            began = time.process_time()
+            assert error_line(language, text) is None
+            took.append(time.process_time() - began)
+        assert took[2] < 80 * max(took[1], 0.002), (language, short[:40], took)
+        assert language == "yaml" or error_line(language, long + " )") is not None
+
+
+@pytest.mark.parametrize("language, text", [("json", "[" * 3000 + "]" * 3000), ("python", "x = " + "(" * 2000 + "1" + ")" * 2000 + "\n"), ("javascript", "x = " + "[" * 2000 + "]" * 2000 + ";"), ("javascript", "x = " + "(" * 2000 + "a" + ")" * 2000), ("java", "class A { int x = " + "(" * 500 + "1" + ")" * 500 + "; }")])
+def test_deep_nesting(language, text):
+    assert error_line(language, text) is None and error_line(language, text + "]") is not None
+
+
+def test_loops_over_what_may_be_empty_end():
+    g = Grammar("File = (Name? Name?)* (',' | Name)* ; Name = NAME ;")
+    t = [Token(frozenset((k,)), 1) for k in ("NAME", "NAME", ",", "NAME")]
+    assert g.recognise(t, ["File"])[0] == {"File"} and g.recognise([], ["File"])[0] == {"File"}
+
+
+def test_else_belongs_to_the_nearest_if():
+    g = Grammar("File = Stat ; Stat = 'if' Stat ('else' Stat | @noelse) | NAME ;")
+    token = lambda k: Token(frozenset((k,)), 1)
+    assert g.recognise([token(k) for k in "if if NAME else NAME else NAME".split()], ["File"])[0] == {"File"}
+    assert g.recognise([token(k) for k in "if NAME else NAME else NAME".split()], ["File"])[0] == set()
+
+
 def test_ambiguous_and_left_recursive_grammars():
     g = Grammar("File = Sum ; Sum = Sum '+' Sum | Sum Sum | NAME | ;")
     token = lambda k: Token(frozenset((k,)), 1)
