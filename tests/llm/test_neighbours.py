@@ -68,3 +68,36 @@ def test_queue_visits_the_nearest_leaf_first():
     for i in range(50):
         visits = f.probe(at[i].tolist(), 12)
         assert len(set(visits)) == 12 and set(enumerate(own[i].tolist())) <= set(visits)
+
+
+def test_leaves_stay_as_large_as_rows_grow():
+    rng = np.random.default_rng(0)
+    sample = rng.standard_normal((4_000, 16)).astype(np.float32)
+    for rows in (80_000, 640_000, 10_000_000):
+        f = N.Forest(sample, rows, 2, 512)
+        assert 128 < rows / 2**f.depth <= 512
+        assert sum(b.size for b in f.borders) <= 2 * 2 * 4_000  # the table is no larger than the sample allows
+    f = N.Forest(sample, 1_000_000, 2, 512)
+    assert f.fitted < f.depth
+    more = rng.standard_normal((20_000, 16)).astype(np.float32)
+    at = f.project(more)
+    own = f.own(at)
+    leaves = np.bincount(own[:, 0], minlength=1 << f.depth)
+    assert leaves.max() < 40 * len(more) / len(leaves)  # borders below the sample still halve the nodes
+    for i in range(20):
+        assert set(enumerate(own[i].tolist())) <= set(f.probe(at[i].tolist(), N.probes_at(f.depth)))
+
+
+def test_a_large_class_is_salted_and_a_space_outside_the_sample_is_searched(spark, monkeypatch):
+    monkeypatch.setattr(N, "HOT", 7)
+    rows = clustered(60) + [(f"copy{i:02}", "m", "r1", [5] * 16) for i in range(30)]
+    want = pairs(exact(rows, 16), 0.75)
+    rows += [("x1", "m", "r2", [1, 2, 3, 4]), ("x2", "m", "r2", [2, 4, 6, 8]), ("x3", "m", "r2", [-1, 2, 3, 4])]
+    got = {tuple(r) for r in N.similar_pairs(*store(spark, rows), sample=5).collect()}
+    assert got == want | {("x1", "x2"), ("x1", "x3"), ("x2", "x3")}
+
+
+def test_equal_similarities_take_the_smaller_ids(spark):
+    rows = [(f"{i}", "m", "r2", [i + 1, 0, 0, 0]) for i in range(9)]  # nine vectors of one direction
+    got = {tuple(r) for r in N.nearest(*store(spark, rows)).select("chunk_id", "other").collect()}
+    assert got == {(a[0], b) for a in rows for b in [r[0] for r in rows if r is not a][:5]}
