@@ -9,7 +9,7 @@ from lorespark.functions.ids import edge_id
 from lorespark.operators import graphs as G
 from lorespark.operators import iterative as I
 from lorespark.plans.registry import query
-from lorespark.sources.shared import kept
+from lorespark.sources.graph_index import GraphIndex
 from lorespark.sources.tables import table
 
 _ID = "sha256('edge' || chr(0) || kind || chr(0) || from_id || chr(0) || to_id || chr(0) || confidence)"
@@ -26,13 +26,11 @@ _RAW = """
     union all select 'declares', 'N:' || c_nationkey, 'C:' || c_custkey, 'exact' from customer
     union all select 'references', 'S:' || s_suppkey, 'N:' || s_nationkey, 'heuristic' from supplier
     union all select 'references', 'C:' || c_custkey, 'N:' || c_nationkey, 'heuristic' from customer
-    union all select 'calls', 'S:' || l_suppkey, 'P:' || l_partkey, case min(l_returnflag) when 'A' then 'exact' when 'N' then 'resolved' else 'heuristic' end from lineitem {where} group by l_suppkey, l_partkey"""
+    union all select 'calls', 'S:' || l_suppkey, 'P:' || l_partkey, case min(l_returnflag) when 'A' then 'exact' when 'N' then 'resolved' else 'heuristic' end from lineitem group by l_suppkey, l_partkey"""
 _MENTIONS = """
     union all select 'mentions', 'P:' || l_partkey, 'C:' || o_custkey, case when min(o_orderstatus) = 'F' then 'inferred' else 'ambiguous' end from lineitem join orders on l_orderkey = o_orderkey group by l_partkey, o_custkey"""
-EDGES_SQL = f"  edges as (select {_ID} as id, * from ({_RAW.format(where='')}{_MENTIONS}) t)"
-SUB_SQL = f"  edges as (select {_ID} as id, * from ({_RAW.format(where='where l_quantity >= 48')}) t)"
+EDGES_SQL = f"  edges as (select {_ID} as id, * from ({_RAW}{_MENTIONS}) t)"
 TG = f"with {NODES_SQL},\n{EDGES_SQL}\n"
-SUB = f"with {NODES_SQL},\n{SUB_SQL}\n"
 _SEMANTIC = "('imports','calls','inherits','implements','references','mentions','describes','grounds','related')"
 _W = "case {} when 'exact' then 1.0 when 'extracted' then 1.0 when 'resolved' then 0.7 when 'inferred' then 0.7 else 0.4 end::double"
 _PLANE = "case when {0} in ('repository','directory','file','module','symbol') then 'code' when {0} = 'page' then 'wiki' when {0} = 'concept' then 'concept' end"
@@ -48,13 +46,20 @@ def tg_nodes(spark: SparkSession, sf: str) -> DataFrame:
     return out
 
 
-def tg_edges(spark: SparkSession, sf: str, sub: bool = False) -> DataFrame:
-    """All edges, or the sub-graph of the queries whose SQL is stated over it: large quantities only, and no mentions."""
+GRAPH_TABLES = ("region", "nation", "supplier", "customer", "part", "lineitem", "orders")
+
+
+def graph_index(spark: SparkSession, sf: str) -> GraphIndex:
+    """The derived graph, built once for the files as they are and stored for lookups."""
+    return GraphIndex(spark, "graph", [f"{sf}/{t}.parquet" for t in GRAPH_TABLES], lambda: tg_edges(spark, sf))
+
+
+def tg_edges(spark: SparkSession, sf: str) -> DataFrame:
     ref = lambda letter, key: F.concat(F.lit(letter + ":"), F.col(key).cast("string"))
     row = lambda df, kind, a, b, c: df.select(F.lit(kind).alias("kind"), a.alias("from_id"), b.alias("to_id"), (F.lit(c) if isinstance(c, str) else c).alias("confidence"))
     nation, supplier, customer = (table(spark, sf, t) for t in ("nation", "supplier", "customer"))
     items = table(spark, sf, "lineitem")
-    calls = (items.where("l_quantity >= 48") if sub else items).groupBy("l_suppkey", "l_partkey").agg(F.min("l_returnflag").alias("f"))
+    calls = items.groupBy("l_suppkey", "l_partkey").agg(F.min("l_returnflag").alias("f"))
     out = [
         row(nation, "contains", ref("R", "n_regionkey"), ref("N", "n_nationkey"), "exact"),
         row(supplier, "declares", ref("N", "s_nationkey"), ref("S", "s_suppkey"), "exact"),
@@ -63,9 +68,8 @@ def tg_edges(spark: SparkSession, sf: str, sub: bool = False) -> DataFrame:
         row(customer, "references", ref("C", "c_custkey"), ref("N", "c_nationkey"), "heuristic"),
         row(calls, "calls", ref("S", "l_suppkey"), ref("P", "l_partkey"), F.when(F.col("f") == "A", "exact").when(F.col("f") == "N", "resolved").otherwise("heuristic")),
     ]
-    if not sub:
-        seen = items.join(table(spark, sf, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).groupBy("l_partkey", "o_custkey").agg(F.min("o_orderstatus").alias("s"))
-        out.append(row(seen, "mentions", ref("P", "l_partkey"), ref("C", "o_custkey"), F.when(F.col("s") == "F", "inferred").otherwise("ambiguous")))
+    seen = items.join(table(spark, sf, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).groupBy("l_partkey", "o_custkey").agg(F.min("o_orderstatus").alias("s"))
+    out.append(row(seen, "mentions", ref("P", "l_partkey"), ref("C", "o_custkey"), F.when(F.col("s") == "F", "inferred").otherwise("ambiguous")))
     all_ = out[0]
     for df in out[1:]:
         all_ = all_.unionAll(df)
@@ -100,7 +104,7 @@ def point_lookup(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"{TG} select kind, count(*) as n from edges where kind in {_SEMANTIC} group by 1")
 def semantic_edges(spark: SparkSession, sf: str) -> DataFrame:
-    return G.semantic(tg_edges(spark, sf)).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
+    return G.semantic(graph_index(spark, sf).edges).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(f"{TG} select {_PLANE.format('kind')} as plane, count(*) as n from nodes group by 1")
@@ -110,7 +114,7 @@ def planes(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"{TG} select kind, confidence, {_W.format('confidence')} as weight, count(*) as n from edges group by all")
 def weights(spark: SparkSession, sf: str) -> DataFrame:
-    return tg_edges(spark, sf).groupBy("kind", "confidence", G.weight(F.col("confidence")).alias("weight")).agg(F.count(F.lit(1)).alias("n"))
+    return graph_index(spark, sf).edges.groupBy("kind", "confidence", G.weight(F.col("confidence")).alias("weight")).agg(F.count(F.lit(1)).alias("n"))
 
 
 _DEGREE = "degree as (select id, count(*) as degree from (select from_id as id from edges union all select to_id from edges) group by 1)"
@@ -118,23 +122,23 @@ _DEGREE = "degree as (select id, count(*) as degree from (select from_id as id f
 
 @query(f"{TG}, {_DEGREE} select * from degree")
 def degree(spark: SparkSession, sf: str) -> DataFrame:
-    return G.degrees(tg_edges(spark, sf))
+    return G.degrees(graph_index(spark, sf).edges)
 
 
 @query(f"{TG}, {_DEGREE} select * from degree where degree > 1 order by degree desc, id limit 100")
 def hubs(spark: SparkSession, sf: str) -> DataFrame:
-    return G.hubs(tg_edges(spark, sf))
+    return G.hubs(graph_index(spark, sf).edges)
 
 
 @query(f"{TG}, {_DEGREE} select id, kind, path, name, degree from degree join nodes using (id) order by degree desc, id limit 10")
 def god_nodes(spark: SparkSession, sf: str) -> DataFrame:
-    return G.god_nodes(tg_nodes(spark, sf), tg_edges(spark, sf), 10)
+    return G.god_nodes(tg_nodes(spark, sf), graph_index(spark, sf).edges, 10)
 
 
 @query(f"{TG} select count(*) as files, (select count(*) from edges) as edges, (select count(*) from nodes where kind = 'symbol') as symbols from nodes")
 def graph_counts(spark: SparkSession, sf: str) -> DataFrame:
     n = tg_nodes(spark, sf).agg(F.count(F.lit(1)).alias("files"), F.count_if(F.col("kind") == "symbol").alias("symbols"))
-    return n.crossJoin(F.broadcast(tg_edges(spark, sf).agg(F.count(F.lit(1)).alias("edges")))).select("files", "edges", "symbols")
+    return n.crossJoin(F.broadcast(graph_index(spark, sf).edges.agg(F.count(F.lit(1)).alias("edges")))).select("files", "edges", "symbols")
 
 
 _CAND = f"""{TG}, {_DEGREE},
@@ -147,12 +151,12 @@ from f left join degree using (id) order by score desc, id limit 20"""
 
 @query(_CAND.format(seed="and list_has_any(regexp_extract_all(h, '[a-z0-9_]+'), ws)"))
 def ranked_candidates(spark: SparkSession, sf: str) -> DataFrame:
-    return G.ranked_candidates(tg_nodes(spark, sf), kept(tg_edges(spark, sf)), "Supplier 0001", 20).withColumn("score", F.col("score").cast("bigint"))
+    return G.ranked_candidates(tg_nodes(spark, sf), graph_index(spark, sf).edges, "Supplier 0001", 20).withColumn("score", F.col("score").cast("bigint"))
 
 
 @query(_CAND.format(seed=""))
 def scored_scan(spark: SparkSession, sf: str) -> DataFrame:
-    return G.ranked_candidates(tg_nodes(spark, sf), kept(tg_edges(spark, sf)), "Supplier 0001", 20, seeded=False).withColumn("score", F.col("score").cast("bigint"))
+    return G.ranked_candidates(tg_nodes(spark, sf), graph_index(spark, sf).edges, "Supplier 0001", 20, seeded=False).withColumn("score", F.col("score").cast("bigint"))
 
 
 @query(f"{TG} select id, kind, path, name from nodes where id = 'ASIA' or path = 'ASIA' or lower(name) = 'asia'")
@@ -168,20 +172,20 @@ _ADJ = """adj as (select distinct id, kind, from_id, to_id, confidence from (
 
 @query(f"{TG}, {_ROOTS}, {_ADJ.format(20)} select * from adj")
 def adjacency_capped(spark: SparkSession, sf: str) -> DataFrame:
-    return G.adjacent(tg_edges(spark, sf), _ids(spark, "N:3", "S:5", "P:17"), 20)
+    return graph_index(spark, sf).adjacent(["N:3", "S:5", "P:17"], 20)
 
 
 @query(f"{TG}, {_ROOTS}, {_ADJ.format(100)} select id, kind, path, name from nodes where id in (select from_id from adj union all select to_id from adj union all select id from roots)")
 def context_one_hop(spark: SparkSession, sf: str) -> DataFrame:
-    return G.context(tg_nodes(spark, sf), kept(tg_edges(spark, sf)), _ids(spark, "N:3", "S:5", "P:17"), 100)
+    return graph_index(spark, sf).context(tg_nodes(spark, sf), ["N:3", "S:5", "P:17"], 100)
 
 
 @query(f"{TG} select e.id from edges e where from_id in (select id from nodes where kind <> 'page') and to_id in (select id from nodes where kind <> 'page')")
 def contained_edges(spark: SparkSession, sf: str) -> DataFrame:
-    return G.contained(tg_edges(spark, sf), tg_nodes(spark, sf).where("kind <> 'page'")).select("id")
+    return G.contained(graph_index(spark, sf).edges, tg_nodes(spark, sf).where("kind <> 'page'")).select("id")
 
 
-def _impact_sql(step: str, depth: int, root: str, graph: str = SUB) -> str:
+def _impact_sql(step: str, depth: int, root: str, graph: str = TG) -> str:
     return f"{graph}, step as ({step}), r(id, d) as (select '{root}', 0 union select b, d + 1 from r join step on a = r.id where d < {depth}) select id, min(d)::int as depth from r group by 1".replace("with ", "with recursive ", 1)
 
 
@@ -190,32 +194,17 @@ _OUT, _IN = "select from_id as a, to_id as b from edges", "select to_id as a, fr
 
 @query(_impact_sql(_IN, 3, "P:17"))
 def impact_inbound(spark: SparkSession, sf: str) -> DataFrame:
-    return G.impact(tg_edges(spark, sf, sub=True), _ids(spark, "P:17"), "inbound", 3).select("id", "depth")
-
-
-@query(_impact_sql(_IN, 3, "P:17", TG))
-def impact_inbound_whole(spark: SparkSession, sf: str) -> DataFrame:
-    return G.impact(kept(tg_edges(spark, sf)), _ids(spark, "P:17"), "inbound", 3).select("id", "depth")
+    return G.impact(graph_index(spark, sf).edges, _ids(spark, "P:17"), "inbound", 3).select("id", "depth")
 
 
 @query(_impact_sql(_OUT, 3, "N:3"))
 def impact_outbound(spark: SparkSession, sf: str) -> DataFrame:
-    return G.impact(tg_edges(spark, sf, sub=True), _ids(spark, "N:3"), "outbound", 3).select("id", "depth")
-
-
-@query(_impact_sql(_OUT, 3, "N:3", TG))
-def impact_outbound_whole(spark: SparkSession, sf: str) -> DataFrame:
-    return G.impact(kept(tg_edges(spark, sf)), _ids(spark, "N:3"), "outbound", 3).select("id", "depth")
+    return G.impact(graph_index(spark, sf).edges, _ids(spark, "N:3"), "outbound", 3).select("id", "depth")
 
 
 @query(_impact_sql(f"{_OUT} union all {_IN}", 2, "S:5"))
 def impact_both(spark: SparkSession, sf: str) -> DataFrame:
-    return G.impact(tg_edges(spark, sf, sub=True), _ids(spark, "S:5"), "both", 2).select("id", "depth")
-
-
-@query(_impact_sql(f"{_OUT} union all {_IN}", 2, "S:5", TG))
-def impact_both_whole(spark: SparkSession, sf: str) -> DataFrame:
-    return G.impact(kept(tg_edges(spark, sf)), _ids(spark, "S:5"), "both", 2).select("id", "depth")
+    return G.impact(graph_index(spark, sf).edges, _ids(spark, "S:5"), "both", 2).select("id", "depth")
 
 
 @query(f"{TG} select id from nodes where path in ('symbol/5', 'page/17', 'module/3') order by id limit 50")
@@ -223,16 +212,10 @@ def path_seeds(spark: SparkSession, sf: str) -> DataFrame:
     return G.at_paths(tg_nodes(spark, sf), spark.createDataFrame([("symbol/5",), ("page/17",), ("module/3",), ("no/such",)], "path string"), 50)
 
 
-@query(f"{SUB}, step as ({_IN}), r(id, d) as (select id, 0 from nodes where path in ('symbol/5', 'page/17') union select b, d + 1 from r join step on a = r.id where d < 5) select id, min(d)::int as depth from r group by 1".replace("with ", "with recursive ", 1))
-def change_impact(spark: SparkSession, sf: str) -> DataFrame:
-    seeds = G.at_paths(tg_nodes(spark, sf), spark.createDataFrame([("symbol/5",), ("page/17",)], "path string"), 50)
-    return G.impact(tg_edges(spark, sf, sub=True), seeds, "inbound", 5).select("id", "depth")
-
-
 @query(f"{TG}, step as ({_IN}), r(id, d) as (select id, 0 from nodes where path in ('symbol/5', 'page/17') union select b, d + 1 from r join step on a = r.id where d < 5) select id, min(d)::int as depth from r group by 1".replace("with ", "with recursive ", 1))
-def change_impact_whole(spark: SparkSession, sf: str) -> DataFrame:
+def change_impact(spark: SparkSession, sf: str) -> DataFrame:
     seeds = G.at_paths(tg_nodes(spark, sf), spark.createDataFrame([("symbol/5",), ("page/17",)], "path string"), 50)
-    return G.impact(kept(tg_edges(spark, sf)), seeds, "inbound", 5).select("id", "depth")
+    return G.impact(graph_index(spark, sf).edges, seeds, "inbound", 5).select("id", "depth")
 
 
 _HOP = """{out} as (select other as id, max(w) as w from (
@@ -244,33 +227,33 @@ _NEAR = f"""s0 as (select unnest(['S:5', 'P:17']) as id, 1.0::double as w), {_HO
 
 @query(f"{TG}, {_NEAR} select id, round(w, 9) as weight from near")
 def graph_signal(spark: SparkSession, sf: str) -> DataFrame:
-    return G.proximity(kept(tg_edges(spark, sf)), _ids(spark, "S:5", "P:17")).select("id", F.round("weight", 9).alias("weight"))
+    return graph_index(spark, sf).proximity(["S:5", "P:17"]).select("id", F.round("weight", 9).alias("weight"))
 
 
 @query(f"{TG}, {_NEAR} select id, round(w, 9) as weight from near where id not in ('S:5', 'P:17') order by w desc, id limit 40")
 def related_nodes(spark: SparkSession, sf: str) -> DataFrame:
-    return G.related(kept(tg_edges(spark, sf)), _ids(spark, "S:5", "P:17"), 40).select("id", F.round("weight", 9).alias("weight"))
+    return graph_index(spark, sf).related(["S:5", "P:17"], 40).select("id", F.round("weight", 9).alias("weight"))
 
 
 @query(f"{TG} select a.path as from_path, b.path as to_path, count(*) as weight from edges e join nodes a on a.id = from_id join nodes b on b.id = to_id where e.kind = 'references' group by all")
 def import_flows(spark: SparkSession, sf: str) -> DataFrame:
-    return G.flows(tg_nodes(spark, sf), tg_edges(spark, sf), "references")
+    return G.flows(tg_nodes(spark, sf), graph_index(spark, sf).edges, "references")
 
 
 @query(f"""{TG} select e.id, {_PLANE.format('a.kind')} as from_plane, {_PLANE.format('b.kind')} as to_plane, confidence from edges e join nodes a on a.id = from_id join nodes b on b.id = to_id
 where e.kind not in ('member-of', 'contains') and {_PLANE.format('a.kind')} <> {_PLANE.format('b.kind')} order by {_W.format('confidence')} desc, e.id limit 100""")
 def surprising_connections(spark: SparkSession, sf: str) -> DataFrame:
-    return G.surprising(tg_nodes(spark, sf), tg_edges(spark, sf), 100)
+    return G.surprising(tg_nodes(spark, sf), graph_index(spark, sf).edges, 100)
 
 
 @query(f"{TG} select count(*) as total, count(*) filter (id in (select to_id from edges where kind in ('describes', 'mentions'))) as described, round(count(*) filter (id in (select to_id from edges where kind in ('describes', 'mentions'))) / count(*), 9) as ratio from nodes where kind <> 'page'")
 def coverage(spark: SparkSession, sf: str) -> DataFrame:
-    return G.coverage(tg_nodes(spark, sf), tg_edges(spark, sf)).withColumn("ratio", F.round("ratio", 9))
+    return G.coverage(tg_nodes(spark, sf), graph_index(spark, sf).edges).withColumn("ratio", F.round("ratio", 9))
 
 
 @query(f"{TG} select id, kind, path, name from nodes where kind = 'page' and id in (select from_id from edges where to_id = 'C:10')")
 def citing_pages(spark: SparkSession, sf: str) -> DataFrame:
-    return G.citing_pages(tg_nodes(spark, sf), tg_edges(spark, sf), "C:10")
+    return G.citing_pages(tg_nodes(spark, sf), graph_index(spark, sf).edges, "C:10")
 
 
 _HALF = "substr(id, 1, 1) < '8'"
@@ -278,21 +261,21 @@ _HALF = "substr(id, 1, 1) < '8'"
 
 @query(f"{TG} select id, kind, confidence from edges where from_id in (select id from nodes where kind <> 'directory') and to_id in (select id from nodes where kind <> 'directory')")
 def merge_enrichment(spark: SparkSession, sf: str) -> DataFrame:
-    nodes, edges = tg_nodes(spark, sf).where("kind <> 'directory'"), tg_edges(spark, sf)
+    nodes, edges = tg_nodes(spark, sf).where("kind <> 'directory'"), graph_index(spark, sf).edges
     pages = F.col("kind") == "page"
     return G.merge(nodes.where(~pages), edges.where(_HALF), nodes.where(pages), edges.where(f"not {_HALF} or substr(id, 2, 1) = '0'"))[1].select("id", "kind", "confidence")
 
 
 @query(f"{TG} select distinct e.id, x as missing from (select id, unnest([from_id, to_id]) as x from edges) e where x not in (select id from nodes where kind <> 'module')")
 def dangling_refs(spark: SparkSession, sf: str) -> DataFrame:
-    return G.dangling(tg_edges(spark, sf), tg_nodes(spark, sf).where("kind <> 'module'"))
+    return G.dangling(graph_index(spark, sf).edges, tg_nodes(spark, sf).where("kind <> 'module'"))
 
 
 @query(f"{TG} select distinct 'page without edge' as rule, id as key from nodes where kind = 'page' and id not in (select from_id from edges where kind = 'mentions')")
 def page_checks(spark: SparkSession, sf: str) -> DataFrame:
     from lorespark.operators.pages import page_violations
 
-    return page_violations(tg_nodes(spark, sf), tg_edges(spark, sf))
+    return page_violations(tg_nodes(spark, sf), graph_index(spark, sf).edges)
 
 
 _FAULTY = """, bad as (select id, kind, from_id, to_id, case when substr(id, 1, 2) = '00' then 'extracted' else confidence end as confidence from edges union all select id, kind, from_id, to_id, confidence from edges where substr(id, 1, 2) = '01')"""
@@ -304,7 +287,7 @@ _FAULTY = """, bad as (select id, kind, from_id, to_id, case when substr(id, 1,
   union all select 'edge id wrong', id from bad where id <> {_ID}
   union all select 'node id wrong', id from nodes)""")
 def graph_violations(spark: SparkSession, sf: str) -> DataFrame:
-    e = kept(tg_edges(spark, sf))  # read once for each rule
+    e = graph_index(spark, sf).edges  # read once for each rule
     bad = e.withColumn("confidence", F.when(F.col("id").startswith("00"), "extracted").otherwise(F.col("confidence"))).unionByName(e.where("id like '01%'"))
     return G.violations(tg_nodes(spark, sf), bad)
 
@@ -328,55 +311,41 @@ def community_summary(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def suggested_questions(spark: SparkSession, sf: str) -> DataFrame:
-    nodes, edges = tg_nodes(spark, sf), kept(tg_edges(spark, sf))
+    nodes, edges = tg_nodes(spark, sf), graph_index(spark, sf).edges
     m = I.communities(nodes, edges)
     return G.questions(G.god_nodes(nodes, edges, 3), G.community_summary(nodes, m))
 
 
 @query()
 def communities(spark: SparkSession, sf: str) -> DataFrame:
-    return I.communities(tg_nodes(spark, sf), kept(tg_edges(spark, sf)))
+    return I.communities(tg_nodes(spark, sf), graph_index(spark, sf).edges)
 
 
 @query()
 def connected_components(spark: SparkSession, sf: str) -> DataFrame:
-    return I.components(tg_nodes(spark, sf), G.semantic(tg_edges(spark, sf)))
-
-
-@query(f"""{SUB}, s as (select a, b, min(c) as c from (select from_id as a, to_id as b, 1 / {_W.format('confidence')} as c from edges where kind in {_SEMANTIC} union all select to_id, from_id, 1 / {_W.format('confidence')} from edges where kind in {_SEMANTIC}) group by all),
-  r(node, d, n) as (select 'S:5', 0.0::double, 0 union select b, round(d + c, 9), n + 1 from r join s on a = r.node where n < 4)
-select node, min(d) as d from r group by 1 having min(d) <= 3""".replace("with ", "with recursive ", 1))
-def path_distances(spark: SparkSession, sf: str) -> DataFrame:
-    return I.distances(tg_edges(spark, sf, sub=True), "S:5").where("d <= 3")
+    return I.components(tg_nodes(spark, sf), G.semantic(graph_index(spark, sf).edges))
 
 
 @query()
-def path_distances_whole(spark: SparkSession, sf: str) -> DataFrame:
-    return I.distances(tg_edges(spark, sf), "S:5")
+def path_distances(spark: SparkSession, sf: str) -> DataFrame:
+    return I.distances(graph_index(spark, sf).edges, "S:5")
 
 
 @query()
 def shortest_path(spark: SparkSession, sf: str) -> DataFrame:
-    return I.shortest_path(tg_edges(spark, sf), "S:5", "C:10")
-
-
-@query(f"{SUB} select least(a.from_id, a.to_id) as a, greatest(a.from_id, a.to_id) as b from edges a join edges b on a.from_id = b.to_id and a.to_id = b.from_id where a.from_id < a.to_id group by all")
-def two_cycles(spark: SparkSession, sf: str) -> DataFrame:
-    e = tg_edges(spark, sf, sub=True).select("from_id", "to_id").distinct()
-    back = e.select(F.col("to_id").alias("from_id"), F.col("from_id").alias("to_id"))
-    return e.where("from_id < to_id").join(back, ["from_id", "to_id"], "left_semi").select(F.col("from_id").alias("a"), F.col("to_id").alias("b"))
+    return I.shortest_path(graph_index(spark, sf).edges, "S:5", "C:10")
 
 
 @query(f"{TG} select least(a.from_id, a.to_id) as a, greatest(a.from_id, a.to_id) as b from edges a join edges b on a.from_id = b.to_id and a.to_id = b.from_id where a.from_id < a.to_id group by all")
-def two_cycles_whole(spark: SparkSession, sf: str) -> DataFrame:
-    e = tg_edges(spark, sf).select("from_id", "to_id").distinct()
+def two_cycles(spark: SparkSession, sf: str) -> DataFrame:
+    e = graph_index(spark, sf).edges.select("from_id", "to_id").distinct()
     back = e.select(F.col("to_id").alias("from_id"), F.col("from_id").alias("to_id"))
     return e.where("from_id < to_id").join(back, ["from_id", "to_id"], "left_semi").select(F.col("from_id").alias("a"), F.col("to_id").alias("b"))
 
 
 @query()
 def cycles(spark: SparkSession, sf: str) -> DataFrame:
-    return I.cycles(tg_edges(spark, sf))
+    return I.cycles(graph_index(spark, sf).edges)
 
 
 @query(f"{TG} select id, name from nodes where kind = 'symbol' and regexp_matches(lower(name), '^(main|start|run|handler)$') order by id limit 100")

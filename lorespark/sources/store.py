@@ -35,9 +35,11 @@ class GenerationStore:
         stream = self._fs.create(self._path(f"{self.root}/{name}.new"), True)
         stream.write(bytearray(json.dumps({"generation": generation}).encode()))
         stream.close()
-        self._fs.delete(self._path(f"{self.root}/{name}"), False)
-        if not self._fs.rename(self._path(f"{self.root}/{name}.new"), self._path(f"{self.root}/{name}")):
-            raise OSError(f"could not publish {name}")
+        jvm = self.spark._jvm
+        context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._path(self.root).toUri(), self.spark._jsc.hadoopConfiguration())
+        options = self.spark._sc._gateway.new_array(getattr(jvm.org.apache.hadoop.fs, "Options$Rename"), 1)
+        options[0] = getattr(jvm.org.apache.hadoop.fs, "Options$Rename").OVERWRITE
+        context.rename(self._path(f"{self.root}/{name}.new"), self._path(f"{self.root}/{name}"), options)
 
     def write(self, nodes: DataFrame, edges: DataFrame) -> str:
         """The generation's name, a hash of its content; an equal graph is not written again."""
@@ -77,6 +79,7 @@ def upsert(spark: SparkSession, path: str, rows: DataFrame, key: str, digest: st
 
     Rows with a known key and digest are left alone.
     """
+    rows = kept(rows)
     fs_path = spark._jvm.org.apache.hadoop.fs.Path(path)
     if not fs_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(fs_path):
         n = rows.count()
