@@ -321,17 +321,28 @@ def communities(spark: SparkSession, sf: str) -> DataFrame:
     return I.communities(tg_nodes(spark, sf), graph_index(spark, sf).edges)
 
 
-@query()
+_BOTH = f"s as materialized (select id, from_id as a, to_id as b, 1 / {_W.format('confidence')} as c from edges where kind in {_SEMANTIC} union all select id, to_id, from_id, 1 / {_W.format('confidence')} from edges where kind in {_SEMANTIC})"
+
+
+@query(f"""{TG}, {_BOTH}, r(id, component) using key (id) as (select id, id from nodes
+  union select s.b, min(r.component) from r join s on s.a = r.id join recurring.r as o on o.id = s.b where r.component < o.component group by s.b)
+select id, component from r""".replace("with ", "with recursive ", 1))
 def connected_components(spark: SparkSession, sf: str) -> DataFrame:
     return I.components(tg_nodes(spark, sf), G.semantic(graph_index(spark, sf).edges))
 
 
-@query()
+_DIST = f"""{TG}, {_BOTH}, r(node, d) using key (node) as (select 'S:5', 0.0::double
+  union select s.b, min(round(r.d + s.c, 9)) from r join s on s.a = r.node left join recurring.r as o on o.node = s.b where o.node is null or round(r.d + s.c, 9) < o.d group by s.b)""".replace("with ", "with recursive ", 1)
+
+
+@query(f"{_DIST} select node, d from r")
 def path_distances(spark: SparkSession, sf: str) -> DataFrame:
     return I.distances(graph_index(spark, sf).edges, "S:5")
 
 
-@query()
+@query(f"""{_DIST}, back as (select s.b as node, min(s.id) as edge, arg_min(s.a, s.id) as prev from s join r x on x.node = s.a join r y on y.node = s.b where round(x.d + s.c, 9) = y.d group by s.b),
+  way(k, node) as (select 0, 'C:10' from r where node = 'C:10' union all select k + 1, prev from way join back using (node) where node <> 'S:5')
+select ((select max(k) from way) - k)::int as step, node as node_id, case when node <> 'S:5' then edge end as edge_id, (select d from r where node = 'C:10') as total from way left join back using (node)""")
 def shortest_path(spark: SparkSession, sf: str) -> DataFrame:
     return I.shortest_path(graph_index(spark, sf).edges, "S:5", "C:10")
 

@@ -106,7 +106,7 @@ def test_questions(spark):
 
 @pytest.fixture(scope="module")
 def star(spark, tmp_path_factory):
-    """A star schema with items of small quantities only: P:17 is joined to S:1, S:5 and C:10 in the whole graph, to nothing in the sub-graph."""
+    """A star schema with items of small quantities only: P:17 is joined to S:1, S:5 and C:10 and to nothing by large quantities."""
     at = tmp_path_factory.mktemp("star")
     tables = {
         "region": ("r_regionkey int, r_name string", [(0, "r")]),
@@ -135,9 +135,9 @@ def test_analytics_see_small_quantities_and_mentions(spark, star):
 
 def test_impact_sees_small_quantities_and_mentions(spark, star):
     near = lambda q: {r.id: r.depth for r in q(spark, star).collect()}
-    assert near(P.impact_both_whole) | {"P:17": 1, "C:10": 2} == near(P.impact_both_whole)
-    assert near(P.impact_inbound_whole) == {"P:17": 0, "S:1": 1, "S:5": 1, "N:1": 2, "C:10": 3, "R:0": 3}
-    assert near(P.change_impact_whole)["S:1"] == 1
+    assert near(P.impact_both) | {"P:17": 1, "C:10": 2} == near(P.impact_both)
+    assert near(P.impact_inbound) == {"P:17": 0, "S:1": 1, "S:5": 1, "N:1": 2, "C:10": 3, "R:0": 3}
+    assert near(P.change_impact)["S:1"] == 1
 
 
 def test_distances_reach_every_node(spark, star):
@@ -151,7 +151,7 @@ def test_distances_reach_every_node(spark, star):
     ids = [f"{i:03}" for i in range(36)]
     chain = edges(spark, *((f"e{a}", "calls", a, b, "exact") for a, b in zip(ids, ids[1:])))
     assert {r.node: r.d for r in I.distances(chain, "000").collect()} == {i: float(k) for k, i in enumerate(ids)}
-    got = {r.node: r.d for r in P.path_distances_whole(spark, star).collect()}
+    got = {r.node: r.d for r in P.path_distances(spark, star).collect()}
     ways = near(G.semantic(P.tg_edges(spark, star)).collect())
     wanted = {n: d for n in ways if (d := I.dijkstra(ways, "S:5", n)) is not None}
     assert got == pytest.approx(wanted) and {"P:17", "C:10", "N:1"} <= set(got) and not {"C:1", "N:2"} & set(got)
