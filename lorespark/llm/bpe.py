@@ -4,8 +4,8 @@ Two tiers. A minimal perfect hash (hash and displace) holds the vocabulary in
 exactly as many slots as there are tokens and resolves every pre-token that is a
 token. A miss is merged from its bytes: a heap of adjacent pairs by rank over a
 doubly linked list, O(n log n) in the pre-token's length, so text without blanks
-is no trap. The corpus is encoded where it lies: no shuffle but the one that
-lets repeated rows count once.
+is no trap. Before both, a worker remembers the pre-tokens it has met. The corpus
+is encoded where it lies: only keys are shuffled, to learn which of them repeat.
 """
 
 from __future__ import annotations
@@ -22,6 +22,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lorespark.sources.shared import spread
+
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed value: the pre-token pattern that belongs to this public vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -126,6 +128,24 @@ class Encoder(dict):
         return np.fromiter(chain.from_iterable(map(self.__getitem__, self.pretokens(text))), np.int32)
 
 
+#: Repeated keys up to which they are sent to all workers; the corpus is shuffled only beyond that.
+SENT = 500_000
+
+
+def repeated_once(rows: DataFrame, key: str, most: int = SENT) -> DataFrame:
+    """Distinct rows. Only rows whose key repeats are compared; all others stay where they are."""
+    repeated = rows.groupBy(key).count().where("count > 1").select(F.col(key).alias("_key"))
+    few = repeated.limit(most + 1).toArrow()
+    if few.num_rows > most:
+        return rows.dropDuplicates()
+    if few.num_rows == 0:
+        return spread(rows)
+    known = F.broadcast(rows.sparkSession.createDataFrame(few))
+    same = rows[key].eqNullSafe(known["_key"])
+    again = rows.join(known, same, "left_semi").dropDuplicates()
+    return spread(rows.join(known, same, "left_anti")).unionByName(again)
+
+
 def encode_texts(documents: DataFrame, key: str = "doc_id", text: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
     """(key, ids array<int>): the ids of each text, without special tokens.
 
@@ -144,5 +164,5 @@ def encode_texts(documents: DataFrame, key: str = "doc_id", text: str = "text",
             ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(parts) if parts else np.empty(0, np.int32)))
             yield pa.RecordBatch.from_arrays([batch.column(0), ids], names=[key, "ids"])
 
-    rows = documents.select(F.col(key), F.col(text)).dropDuplicates()
+    rows = repeated_once(documents.select(F.col(key), F.col(text)), key)
     return rows.mapInArrow(run, f"`{key}` {rows.schema[0].dataType.simpleString()}, ids array<int>")
