@@ -1,14 +1,18 @@
 """Evaluation texts inside training text.
 
-All windows of 13 normalised words of the test items form one Aho-Corasick
-automaton over word numbers. Each text is read once: its words are numbered by
-the automaton's own vocabulary and run through it; word places are mapped back
-to the text's characters only where something was found.
+The normalised words of the test items, cut into consecutive blocks of 7, form one
+Aho-Corasick automaton over word numbers: every stretch of 13 words holds a whole
+block, so a node for each word is enough. Each text is read once: its words are
+numbered by the automaton's own vocabulary and run through it; a block that is
+found is extended to both sides as far as text and item agree, and word places are
+mapped back to the text's characters only where that makes 13 words.
 """
 
 from __future__ import annotations
 
 import re
+import uuid
+from array import array
 from collections.abc import Iterator
 from itertools import repeat
 
@@ -21,7 +25,7 @@ from lorespark.sources.shared import spread
 
 WORDS = 13
 #: Characters of test items that go into one automaton; more are searched in further passes, none is left out.
-BLOCK_CHARS = 20_000_000
+BLOCK_CHARS = 10_000_000
 # Letters and digits of any script; all else only separates.
 WORD = re.compile(r"[^\W_]+")
 
@@ -31,35 +35,64 @@ def words_of(text: str) -> list[str]:
     return WORD.findall(text.lower()) if text.isascii() else [w.casefold() for w in WORD.findall(text)]
 
 
-class Windows:
-    """The automaton of all windows of ``size`` words."""
+class Items:
+    """The automaton of the blocks of all items, for stretches of at least ``size`` words."""
 
     def __init__(self, items: list[tuple[int, str]], size: int):
-        self.size, self.vocabulary, owners = size, {}, {}
+        self.size, self.block = size, (size + 1) // 2
+        self.vocabulary: dict[str, int] = {}
+        self.words: dict[int, list[array]] = {}  # of each item its texts
+        owners: dict[tuple, list[tuple[int, int, int]]] = {}
         for item, text in items:
-            numbers = [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words_of(text)]
-            for i in range(len(numbers) - size + 1):
-                owners.setdefault(tuple(numbers[i : i + size]), set()).add(item)
+            numbers = array("i", (self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words_of(text)))
+            own = self.words.setdefault(item, [])
+            for at in range(0, len(numbers) - self.block + 1, self.block) if len(numbers) >= size else ():
+                owners.setdefault(tuple(numbers[at : at + self.block]), []).append((item, len(own), at))
+            own.append(numbers)
         self.automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
-        for window, found in owners.items():
-            self.automaton.add_word(window, tuple(sorted(found)))
+        for block, found in owners.items():
+            self.automaton.add_word(block, found)
         self.automaton.make_automaton()
         self.empty = not owners
 
     def spans(self, text: str) -> list[tuple[int, int, int]]:
-        """(item, first word, last word) of each maximal run of windows of an item."""
+        """(item, first word, last word) of each maximal stretch that text and item share."""
         numbers = tuple(map(self.vocabulary.get, words_of(text), repeat(0)))
         if self.empty or len(numbers) < self.size:
             return []
-        runs: dict[int, list[list[int]]] = {}
-        for end, found in self.automaton.iter(numbers):
-            for item in found:
-                own = runs.setdefault(item, [])
-                if own and own[-1][1] == end - 1:
-                    own[-1][1] = end
-                else:
-                    own.append([end - self.size + 1, end])
-        return [(item, a, b) for item, own in runs.items() for a, b in own]
+        n, size = len(numbers), self.size
+        reached: dict[tuple[int, int, int], int] = {}  # by item, text and shift: the end of the last stretch
+        found: set[tuple[int, int, int]] = set()
+        for end, owners in self.automaton.iter(numbers):
+            for item, k, at in owners:
+                shift = end - self.block + 1 - at
+                if reached.get((item, k, shift), -1) >= end:
+                    continue
+                own = self.words[item][k]
+                a, b = end - self.block + 1, end
+                while a > 0 and a - shift > 0 and numbers[a - 1] == own[a - 1 - shift]:
+                    a -= 1
+                while b + 1 < n and b + 1 - shift < len(own) and numbers[b + 1] == own[b + 1 - shift]:
+                    b += 1
+                reached[item, k, shift] = b
+                if b - a + 1 >= size:
+                    found.add((item, a, b))
+        out: list[tuple[int, int, int]] = []
+        for item, a, b in sorted(found, key=lambda x: (x[0], x[1], -x[2])):
+            if not (out and out[-1][0] == item and b <= out[-1][2]):  # not within another stretch, of an item that repeats itself
+                out.append((item, a, b))
+        return out
+
+
+_BUILT: dict[tuple, Items] = {}
+
+
+def _built(mark: tuple, items: list[tuple[int, str]], size: int) -> Items:
+    """The automaton of a block, built once in each worker process and kept until another one is asked for."""
+    if mark not in _BUILT:
+        _BUILT.clear()
+        _BUILT[mark] = Items(items, size)
+    return _BUILT[mark]
 
 
 def leaked_spans(documents: DataFrame, items: DataFrame, size: int = WORDS, block_chars: int = BLOCK_CHARS) -> DataFrame:
@@ -79,8 +112,10 @@ def leaked_spans(documents: DataFrame, items: DataFrame, size: int = WORDS, bloc
         mine = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k) if blocks > 1 else items
         shared = spark.sparkContext.broadcast([(r[0], r[1]) for r in mine.collect()])
 
-        def run(frames: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            windows = Windows(shared.value, size)
+        mark = uuid.uuid4().hex
+
+        def run(frames: Iterator[pd.DataFrame], shared=shared, mark=mark) -> Iterator[pd.DataFrame]:
+            windows = _built((mark, size), shared.value, size)
             for frame in frames:
                 rows = []
                 for doc, text in zip(frame["doc_id"], frame["text"]):

@@ -1,4 +1,7 @@
 import random
+import subprocess
+import sys
+from pathlib import Path
 
 import pytest
 from hypothesis import given, settings
@@ -67,15 +70,51 @@ def test_leaks(spark):
     assert {tuple(r) for r in leakage.leaked_spans(d, i, block_chars=60).select("doc_id", "item_id").distinct().collect()} == {(1, 10), (1, 11), (5, 10), (5, 11)}
 
 
-def test_leaks_against_brute_force():
+@pytest.mark.parametrize("size, length", [(4, 8), (5, 11), (13, 40)])
+def test_leaks_against_brute_force(size, length):
     rng = random.Random(5)
     word = lambda: rng.choice(["a", "b", "Straße", "ÇA"])
-    items = [(k, " ".join(word() for _ in range(8))) for k in range(6)]
-    windows = leakage.Windows(items, 4)
-    grams = lambda t: {tuple(ws[i : i + 4]) for ws in [[w.casefold() for w in t.split()]] for i in range(len(ws) - 3)}
-    for _ in range(200):
-        text = " ".join(word() for _ in range(9))
-        assert {i for i, _, _ in windows.spans(text)} == {k for k, t in items if grams(t) & grams(text)}
+    items = [(k // 2, " ".join(word() for _ in range(rng.randrange(length)))) for k in range(12)]  # two texts of each item
+    items += [(9, " ".join(["a"] * length))]
+    known = leakage.Items(items, size)
+    fold = lambda t: [w.casefold() for w in t.split()]
+    grams = lambda ws: {tuple(ws[i : i + size]) for i in range(len(ws) - size + 1)}
+    for k in range(200):
+        words = [word() for _ in range(length)]
+        if k % 2:  # a piece of an item
+            piece = rng.choice(items)[1].split()
+            words[3 : 3 + len(piece)] = piece
+        text = " ".join(words)
+        spans = known.spans(text)
+        assert {i for i, _, _ in spans} == {i for i, t in items if grams(fold(t)) & grams(fold(text))}
+        for item, first, last in spans:  # each stretch stands in the item, and none lies within another
+            stretch = " ".join(fold(text)[first : last + 1])
+            assert last - first + 1 >= size and any(stretch in " ".join(fold(t)) for i, t in items if i == item)
+        assert not any(x != y and x[0] == y[0] and x[1] <= y[1] and y[2] <= x[2] for x in spans for y in spans)
+
+
+def test_a_full_block_of_items_fits_in_a_worker():
+    code = f"""
+import random, resource
+from lorespark.llm import leakage
+rng = random.Random(1)
+words = [f"w{{i}}" for i in range(50_000)]
+items = [(k, " ".join(rng.choices(words, k=1000))) for k in range({leakage.BLOCK_CHARS} // 6_000)]
+before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+leakage.Items(items, 13)
+print((resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) // 1024)
+"""
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, cwd=Path(__file__).parents[2])
+    assert int(out.stdout.split()[-1]) < 1000, out.stderr
+
+
+def test_repeated_rows_of_a_corpus_are_found_without_moving_it(spark, monkeypatch):
+    df = spark.createDataFrame([(1, "a"), (1, "a"), (2, "b"), (3, "c"), (3, "d"), (None, "e"), (None, "e"), (4, None)], "doc_id bigint, text string")
+    want = sorted(map(repr, {tuple(r) for r in df.collect()}))
+    for most in (10, 1):
+        assert sorted(repr(tuple(r)) for r in bpe.repeated_once(df, "doc_id", most).collect()) == want
+    once = df.where("doc_id = 2 or text is null")
+    assert bpe.repeated_once(once, "doc_id").count() == 2 and bpe.repeated_once(df.where("false"), "doc_id").count() == 0
 
 
 # Splitting
