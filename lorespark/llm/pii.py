@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+import uuid
 import zlib
 from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
@@ -54,13 +55,18 @@ GIVEN = frozenset(
 )
 # Words that stand before a person, and before things.
 PERSON_BEFORE = re.compile(
-    r"(?:\b(?:author|from|signed-off-by|reviewed by|interviewed|cc|contact|please ask|ask for|thanks to|according to|laut|secondo|según|selon|d'après|sentire|can reach|regards,|grüße,?|saluti,?|cordialement,?|saludos,?"
-    r"|number of|now goes to|laptop to|applicant|ansprechperson ist|contacto es|livraison chez|zu händen|atención de|attn|spedire a|escalation list|on file|owner|reporter|name|fyi|note from|contact person|mr|mrs|ms|dr|prof|frau|herr|sig|mme)"
-    r"\s*[:：=.]?[\"']*\s*[:=]?\s*[\"'(]?\s*|連絡先：|（)$",
+    r"(?:\b(?:author|from|signed-off-by|reviewed by|interviewed|cc|contact|ask|ask for|thanks to|according to|laut|secondo|según|selon|d'après|sentire|reach|regards,|grüße,?|saluti,?|cordialement,?|saludos,?"
+    r"|(?:number|address|e-?mail|account) of|goes to|(?:sent?d?|ship(?:ped)?|deliver(?:ed)?|handed|given?|assigned|forwarded) (?:\S+ ){0,3}to|laptop to|applicant|ansprechp(?:erson|artner(?:in)?)(?: ist)?|contacto(?: es)?|chez|zu händen|z\. ?hd\.|atención de|attn|attention"
+    r"|(?:spedire|inviare|scrivere|chiedere) a|list|on (?:file|record)|owner|reporter|name|fyi|contact person|mr|mrs|ms|dr|prof|frau|herr|sig|mme|señora?|доктор|господин|госпожа|автор|контакт)"
+    r"\s*[:：=.]?[\"']*\s*[:=]?\s*[\"'(]?\s*|(?:連絡先|担当者?|氏名|名前|作成者|宛先)：|（)$",
+    re.I,
+)
+THING_BEFORE = re.compile(r"\b(?:in|into|with|both|via|inside|see|use|restart|function|renamed|dans|en|nel|open|called|cluster|at|on|than|about|between|of the)\s+$", re.I)
+PERSON_AFTER = re.compile(
+    r"^(?:\s*<|['’]s (?:badge|laptop|account|desk|e-?mail|phone|office|calendar|manager|team|number|birthday|shift)|\s+(?:owns|left|wants|said|says|asked|joined|wrote|writes|called|replied|confirmed|agreed|suggested|works|lives|reported|noted)\b"
+    r"|,? (?:tel|tél|phone)|,? [(（]?[+0(]\d|\s?[(（][\w.+-]+ ?[@＠(\[]| \| )",
     re.I,
 )
-THING_BEFORE = re.compile(r"\b(?:in|into|with|both|via|inside|see|use|restart|function|renamed|dans|en|nel|open|called|cluster|at|on|gilt|than|about|between|of the)\s+$", re.I)
-PERSON_AFTER = re.compile(r"^(?:\s*<|['’]s (?:badge|laptop|account|desk)|\s+(?:owns|said that|left the team|wants|said)\b|,? (?:tel|tél|phone)|,? [(（]?[+0(]\d|\s?[(（][\w.+-]+ ?[@＠(\[]|, the \w+ \w+ \w+ is back| \| )", re.I)
 PARTICLES = frozenset(("von", "van", "de", "di", "the", "and"))
 
 
@@ -88,12 +94,13 @@ CODE_SHAPES = re.compile(r"[A-Z]{6}\d{2}[A-Z]\d{2}[A-Z]\d{3}[A-Z]|[A-Z]{2}[ -]?\
 _NUMBER = r"\d{1,4}(?:\s?(?:bis|ter|quater)\b|[a-zA-Z]\b)?"
 _CAP = r"[A-ZÀ-Þ][\w'’.-]*"
 NUMBER_FIRST = re.compile(
-    rf"(?=\d)(?<![\w-])(?:{_NUMBER},?\s(?:{_CAP}\s){{1,3}}(?:Lane|Road|Street|Avenue|Terrace|Drive|Close|Court|Crescent|Square|Boulevard|Parkway|(?:St|Ave|Blvd|Rd|Ln|Dr)\b\.?)"
+    rf"(?=\d)(?<![\w-])(?:{_NUMBER},?\s(?:{_CAP}\s){{1,3}}(?:Lane|Road|Street|Avenue|Terrace|Drive|Close|Court|Crescent|Square|Boulevard|Parkway|Way|Walk|Place|Grove|Gardens|Mews|Highway|Circle|(?:St|Ave|Blvd|Rd|Ln|Dr)\b\.?)"
     rf"|{_NUMBER},?\s(?:rue|avenue|chemin|boulevard|place|allée|quai|impasse|route|square|cours)\s(?:de\sla\s|de\sl['’]|des\s|du\s|de\s|d['’])?{_CAP})"
 )
 STREET_FIRST = re.compile(
     r"(?<![\w-])(?:(?:[A-ZÄÖÜ][\wäöüß-]*(?:straße|strasse|str\.|weg|gasse|platz|allee|ring|damm|ufer|steig)|(?:Am|An\sde[rn]|Auf\sde[rm]|Im|In\sde[rn]|Zum|Zur|Unter\sden|Alte[rs]?|Neue[rs]?|Obere|Untere|Große|Kleine)\s[A-ZÄÖÜ][\wäöüß-]+)\s\d{1,4}\s?[a-z]?\b"
-    r"|(?:Via|Viale|Piazza|Corso|Vicolo|Largo|Calle|Paseo|Avenida|Plaza|Camino|Carrera|Ronda)\s(?:[\w'’.]+\s){1,4}?\d{1,4}\b"
+    r"|(?:ул\.|улица|проспект|пер\.|[Uu]l\.|[Uu]lica)\s[^\W\d_][\w-]+,?\s(?:д\.\s)?\d{1,4}\b|[A-Z][a-z]+(?:straat|laan|plein|gracht|kade)\s\d{1,4}\s?[a-z]?\b"
+    r"|(?:Via|Viale|Piazza|Corso|Vicolo|Largo|Calle|Paseo|Avenida|Plaza|Camino|Carrera|Ronda|Rua|Travessa)\s(?:[\w'’.]+\s){1,4}?\d{1,4}\b"
     r"|(?:P\.?\s?O\.?\s?Box|Postfach|Casella\spostale|Apartado(?:\sde\scorreos)?|Boîte\spostale)\s\d+)"
 )
 # A street without a number: rather the name of something else.
@@ -103,28 +110,50 @@ BARE_WORDS = (" Street", " Road", " Lane", " Avenue")
 TAIL = re.compile(r"(?: [A-ZÀ-Þ][\w'’-]+(?=,))?(?:,\s(?:Apt\.?\s\w+|\d+\.º\s\w))?(?:(?:,\s|\n)(?:\d{5}\s[A-ZÀ-Þ][\w'’-]+|[A-ZÀ-Þ][\w'’-]+\s\d{5})|,\s[A-ZÀ-Þ][\w'’-]+)?")
 # The street words of NUMBER_FIRST; and words of which one stands in everything that STREET_FIRST finds.
 STREET_WORDS = frozenset("Lane Road Street Avenue Terrace Drive Close Court Crescent Square Boulevard Parkway St Ave Blvd Rd Ln Dr".split())
-STREET_STARTS = tuple("straße|strasse|str. |weg |gasse |platz |allee |ring |damm |ufer |steig |Am |An de|Auf de|Im |In de|Zu|Unter|Alte|Neue|Obere|Große|Kleine|Via|Piazza|Corso|Vicolo|Largo|Calle|Paseo|Avenida|Plaza|Camino|Carrera|Ronda|Box |Postfach|Casella|Apartado|Boîte".split("|"))
+STREET_STARTS = tuple("straße|strasse|str. |weg |gasse |platz |allee |ring |damm |ufer |steig |Am |An de|Auf de|Im |In de|Zu|Unter|Alte|Neue|Obere|Große|Kleine|Via|Piazza|Corso|Vicolo|Largo|Calle|Paseo|Avenida|Plaza|Camino|Carrera|Ronda|Rua|Travessa|ул. |улица |проспект |пер. |Ul. |ul. |Ulica |ulica |straat |laan |plein |gracht |kade |Box |Postfach|Casella|Apartado|Boîte".split("|"))
 # What stands in everything that STREET_FIRST finds: a blank of any kind before a number, after a letter or another sign of its words.
-STREET_QUICK = re.compile(r"[\w'’.-]\s\d")
+STREET_QUICK = re.compile(r"[\w'’.,-]\s\d")
+# The words of which one stands in everything that NUMBER_FIRST finds, each after a blank of any kind; the short ones end there.
+NUMBER_WORDS = "Lane Road Street Avenue Terrace Drive Close Court Crescent Square Boulevard Parkway Way Walk Place Grove Gardens Mews Highway Circle rue avenue chemin boulevard place allée quai impasse route square cours".split()
+NUMBER_SHORT = "St Ave Blvd Rd Ln Dr".split()
+# A quick look for digits near each other: what may stand between the digits of a number is taken out, and all else is one sign.
+_BETWEEN = b" ().-/ABCDEFGHIJKLMNOPQRSTUVWXYZ" + bytes(range(128, 256))
+_AS_DIGITS = bytes(48 if 48 <= c <= 57 else 120 for c in range(256))
+OTHER_DIGITS = re.compile("[" + "".join(c for c in map(chr, range(128, 0x10000)) if re.match(r"\d", c)) + "]")
 SPACES = [c for c in map(chr, range(0x3001)) if re.match(r"\s", c)]
+# Names and addresses of scripts that write words without blanks or capitals. A name needs a word of address after it or a label before it.
+HAN = "\u3400-\u4dbf\u4e00-\u9fff々"
+EAST = re.compile(f"[{HAN}\u30a1-\u30fa]{{2}}")
+EAST_LABEL = re.compile(r"(?:担当者?|氏名|名前|連絡先|作成者|宛先|報告者|申請者|承認者|著者)[はが]?[:：]?\s*[（「]?$")
+EAST_NAME = re.compile(f"(?<![{HAN}])(?:[{HAN}]{{1,4}}[ \u3000][{HAN}\u3041-\u3096\u30a1-\u30fa]{{1,5}}?|[{HAN}]{{4}}|[\u30a1-\u30fa\u30fc]{{2,10}}・[\u30a1-\u30fa\u30fc]{{2,10}})(?=\\s?(さん|さま|様|氏|先生|殿)|[^{HAN}\u3041-\u3096\u30a1-\u30fa\u30fc]|$)")
+EAST_OFFICE = re.compile("[者部課社店局係長員]$")
+EAST_ADDRESS = re.compile(f"(?:〒\\s?\\d{{3}}-\\d{{4}}\\s?)?(?:東京都|北海道|京都府|大阪府|[{HAN}]{{2,3}}県)[{HAN}\u3041-\u3096\u30a1-\u30fa\u30fc]{{1,24}}?\\d+(?:(?:丁目|番地?|号|[-−‐－の])\\d*)*")
+EAST_PLACE = re.compile(r"(?:住所|所在地|宛先|届け先|送付先)[はが]?[:：]?\s*$")
 POSTCODE = re.compile(r"^[,\s]{0,3}(?:[^\n,]{0,12},\s)?(?:\d{5}\b|[A-ZÀ-Þ][\w'’-]+(?: [A-Z]\w+)?(?:\s\d{5}\b|[.,\n]|\s))")
 WORD = re.compile(r"(?:[OoDd]['’])?[^\W\d_]+(?:[-][^\W\d_]+)*")
 NOT_PHONE = re.compile(r"\d{4}-\d{2}-\d{2}|(?:\d{1,3}\.){3}\d{1,3}$|\d{1,2}[./]\d{1,2}[./]\d{4}$|\d{4}\.\d|\d+[.,]\d+$")
 PHONE_WORDS = re.compile(r"(?:call|tel|tél|phone|ring|text|sms to|reach|number|numero|número|numéro|telefono|telefon|fax|mobil|cell|find|電話|\bat|to=|on file)\W*(?:[\w'’.\-]+,? ){0,4}\W*$", re.I)
 ID_WORDS = re.compile(r"\b(?:id|ssn|passport|tax|insurance|national(?:_id)?|ausweis|personalausweis|steuer\w*|codice fiscale|documento|identidad|identité|sozialversicherung\w*|versicherung\w*|personal number|nif|nie|dni|badge|social security)\b(?:(?<=n[ro])\.|_id\b|[^.\n;|]){0,24}$", re.I)
 THING_WORDS = re.compile(r"(?:order|checksum|build|trace|commit|revisions?|lines?|version|retry|batch|ticket|rev|offset|depth|limit|width|total|score|weight|budget|port|issue|page|step|lane|after)\W*$", re.I)
-PLACE_WORDS = re.compile(r"(?:invoice to|visit us at|office is at|moved from|lives at|chez [^\n]{2,40},|lieferadresse:|laptop to [^\n]{2,40},|spedire a [^\n]{2,40},|equipo a|address:?|on file: [^\n]{2,60},|\baddr(?:ess)?\w*\s?[=:]\s?[\"']?|\n)\s*$", re.I)
+PLACE_WORDS = re.compile(
+    r"(?:invoice to|visit us at|office is at|moved (?:from|to)|lives? (?:at|in)|chez [^\n]{2,40},|lieferadresse:|\b(?:ship|send|sent|deliver(?:ed)?|laptop|spedire|inviare|envoyer|livraison|liefern|enviar|equipo) (?:\S+ ){0,2}(?:to|a|à|an|chez) (?:[^\n]{2,40},)?"
+    r"|address:?|indirizzo:?|dirección:?|adresse:?|адрес:?|on (?:file|record): [^\n]{2,60},|\baddr(?:ess)?\w*\s?[=:]\s?[\"']?|\n)\s*$",
+    re.I,
+)
 CODE_NAME = re.compile(r"^[^\n.]{0,12}\b(?:is|was) (?:only |just )?(?:the |a |an )?(?:code ?name|name of|cluster|project|branch)", re.I)
 
 
+ACCENTS = re.compile("[" + "".join(c for c in map(chr, range(0x10000)) if unicodedata.combining(c)) + "]+")
+
+
 def plain(word: str) -> str:
     """Lower case without accents."""
-    return word.lower() if word.isascii() else "".join(c for c in unicodedata.normalize("NFKD", word.lower().replace("ø", "o")) if not unicodedata.combining(c))
+    return word.lower() if word.isascii() else without_accents(word.lower())
 
 
 def without_accents(text: str) -> str:
     """A text as ``plain`` leaves its words, but in its own case."""
-    return text if text.isascii() else "".join(c for c in unicodedata.normalize("NFKD", text.replace("ø", "o").replace("Ø", "O")) if not unicodedata.combining(c))
+    return text if text.isascii() else ACCENTS.sub("", unicodedata.normalize("NFKD", text.replace("ø", "o").replace("Ø", "O")))
 
 
 def surname_parts(word: str) -> list[str]:
@@ -134,14 +163,14 @@ def surname_parts(word: str) -> list[str]:
 
 # The last words of what stands before persons: a quick look that spares most searches.
 _PERSON_LAST = frozenset(
-    "author from signed-off-by by interviewed cc contact ask for to laut secondo según selon d'après sentire reach regards, grüße grüße, saluti saluti, cordialement cordialement, saludos saludos, of applicant ist es chez händen de attn a list file owner reporter name fyi person mr mrs ms dr prof frau herr sig mme".split()
+    "author from signed-off-by by interviewed cc contact ask for to laut secondo según selon d'après sentire reach regards, grüße grüße, saluti saluti, cordialement cordialement, saludos saludos, of applicant ist es contacto ansprechperson ansprechpartner ansprechpartnerin chez händen hd de attn attention a list file record owner reporter name fyi person mr mrs ms dr prof frau herr sig mme señor señora доктор господин госпожа автор контакт".split()
 )
 
 
 def person_before(before: str) -> bool:
     tail = before.rstrip(" \t\n\r\u00a0\u202f\"'(:：=.")
     word = tail[max(tail.rfind(" "), tail.rfind("\n")) + 1 :].lstrip("{\"'(|[<,;#/").lower()
-    if word not in _PERSON_LAST and not any(word.endswith(w) for w in ("author", "contact", "from", "name", "reporter", "owner", "by", "先", "（")):
+    if word not in _PERSON_LAST and not any(word.endswith(w) for w in ("author", "contact", "from", "name", "reporter", "owner", "by", "先", "当", "者", "名", "前", "（")):
         return False
     return PERSON_BEFORE.search(before) is not None
 
@@ -294,6 +323,17 @@ def with_rare_words(texts: DataFrame, rest: DataFrame) -> DataFrame:
 # 2. Candidates
 
 
+# Capitalised words before a surname that are no given names.
+NOT_GIVEN = frozenset(
+    """mr mrs ms miss dr prof professor frau herr sig signora signor mme mlle madame monsieur señor señora don doña dear hi hello hallo ciao hola bonjour the a an and or by from to for
+    ask cc with of in on at is was please thanks contact regards grüße saluti saludos cordialement author owner reporter reviewer name family team von van de di la le der die das und e y et el""".split()
+)
+
+
+def _may_be_given(word: str, flags: tuple[bool, bool]) -> bool:
+    return len(word) > 2 and word[0].isupper() and word[1:].islower() and word.isalpha() and not any(flags) and word.lower() not in NOT_GIVEN
+
+
 def _names(text: str, flag: Flags, taken: list[tuple[int, int]]) -> Iterator[tuple]:
     """Given name or initial with a surname, in either order, in any case.
 
@@ -335,6 +375,9 @@ def _names(text: str, flag: Flags, taken: list[tuple[int, int]]) -> Iterator[tup
             if j + 1 < n and re.fullmatch(r",[  ]", text[e : tokens[j + 1][1]]) and (flags[j + 1][0] or len(tokens[j + 1][0]) == 1 and text[tokens[j + 1][2] : tokens[j + 1][2] + 1] == "."):
                 # the word before must not make this the end of another name
                 last, kind = j + 1, 2
+        if last is None and is_surname and i and _may_be_given(tokens[i - 1][0], flags[i - 1]) and text[tokens[i - 1][2] : a] == " " and w[:1].isupper() and tokens[i - 1][1] >= used:
+            # a surname of the lexicon after a capitalised word that it does not know
+            i, a, last = i - 1, tokens[i - 1][1], i
         if last is None:
             continue
         end = tokens[last][2]
@@ -377,6 +420,12 @@ class Flags(dict):
                 self.automaton.add_word(w.replace(" ", c), "street")
         for w in BARE_WORDS:
             self.automaton.add_word(w, "bare")
+        for w in (*NUMBER_WORDS, *NUMBER_SHORT):
+            for c in SPACES:
+                if (found := c + w) in self.automaton:  # one of BARE_WORDS
+                    self.automaton.add_word(found, "both")
+                else:
+                    self.automaton.add_word(found, "number" if w in NUMBER_WORDS else "short")
         self.automaton.make_automaton()
 
     def beside(self, given: Iterable[str], surnames: Iterable[str]) -> RareFlags:
@@ -402,6 +451,17 @@ class Flags(dict):
         return out
 
 
+_KNOWN: dict[str, Flags] = {}
+
+
+def _flags(mark: str, given: frozenset, surnames: frozenset) -> Flags:
+    """The flags of one lexicon, built once in each worker process and kept until another lexicon is asked for."""
+    if mark not in _KNOWN:
+        _KNOWN.clear()
+        _KNOWN[mark] = Flags(given, surnames)
+    return _KNOWN[mark]
+
+
 class RareFlags(dict):
     """Flags with the rare names of one text."""
 
@@ -422,6 +482,13 @@ def shape(s: str, n: int) -> tuple[bool, bool, bool]:
     return prefix, id_shape, national
 
 
+def has_number(text: str) -> bool:
+    """Whether six digits may belong together; no number of a person has fewer. A look at bytes, which spares most searches."""
+    if b"000000" in text.encode("utf-8", "surrogatepass").translate(_AS_DIGITS, _BETWEEN):
+        return True
+    return not text.isascii() and OTHER_DIGITS.search(text) is not None
+
+
 def digit_groups(text: str) -> Iterator[tuple[int, int, int]]:
     """(start, end, digits) of the groups of 8 to 15 digits.
 
@@ -467,7 +534,15 @@ def _parts(text: str, runs: list[tuple[int, int]]) -> list[tuple[int, int, int]]
 
 def candidates(text: str, flag: Flags, rare: bool = False) -> list[tuple[str, int, int, str]]:
     """(type, start, end, votes) of everything in a text that may be personal. rare: it is known to hold a name of the lexicon."""
-    hints = {kind for _, kind in flag.automaton.iter(text)}
+    hints = set()
+    for end, kind in flag.automaton.iter(text):
+        if kind == "both":
+            hints.update(("bare", "number"))
+        elif kind != "short":
+            hints.add(kind)
+        elif not (text[end + 1 : end + 2].isalnum() or text[end + 1 : end + 2] == "_"):
+            hints.add("number")
+    numbers = has_number(text)
     out: list[tuple[str, int, int, str]] = []
     taken: list[tuple[int, int]] = []
     lowered = text.lower()
@@ -496,7 +571,7 @@ def candidates(text: str, flag: Flags, rare: bool = False) -> list[tuple[str, in
                 )
             )
             taken.append((a, b))
-    for m in chain(*(c.finditer(text) for c in CODES)):
+    for m in chain(*(c.finditer(text) for c in CODES)) if numbers else ():
         m = CODE_SHAPES.match(text, m.start()) if not re.match(r"[\w-]", text[m.start() - 1 : m.start()] if m.start() else "") else None
         if not m or re.match(r"[\w-]", text[m.end() : m.end() + 1]):
             continue
@@ -506,7 +581,7 @@ def candidates(text: str, flag: Flags, rare: bool = False) -> list[tuple[str, in
         before = text[max(0, a - 40) : a]
         out.append(("ID", a, b, vote(1 if ID_WORDS.search(before) else -1 if THING_WORDS.search(before) else 0, 1, 0, -1 if re.match(r"[-_/.]\w", text[b : b + 2]) else 1)))
         taken.append((a, b))
-    for a, b, n in digit_groups(text):
+    for a, b, n in digit_groups(text) if numbers else ():
         s = text[a:b]
         if any(a < e and x < b for x, e in taken):
             continue
@@ -519,7 +594,7 @@ def candidates(text: str, flag: Flags, rare: bool = False) -> list[tuple[str, in
         out.append(("PHONE", a, b, vote(1 if phone_said and not id_said else -1 if id_said else 0, -1 if thing else 0, 1 if prefix else 0, 1 if national or prefix else -1, -1 if dated or re.match(r"[-_.]?\w", after) else 0, 1 if 9 <= n <= 13 else -1, -1 if id_shape else 0)))
         out.append(("ID", a, b, vote(1 if id_said else -1 if thing or phone_said else 0, 1 if id_shape else -1, -1 if prefix or dated else 0, -1 if re.match(r"[-_.]?\w", after) else 1)))
         taken.append((a, b))
-    searched = [NUMBER_FIRST]
+    searched = [NUMBER_FIRST] if "number" in hints else []
     if "street" in hints and STREET_QUICK.search(text):
         searched.append(STREET_FIRST)
     if "bare" in hints:
@@ -534,11 +609,26 @@ def candidates(text: str, flag: Flags, rare: bool = False) -> list[tuple[str, in
             b = TAIL.match(text, b).end() if expression is not BARE_STREET else b
             out[-1] = ("ADDRESS", a, b, out[-1][3])
             taken.append((a, b))
+    if not text.isascii() and EAST.search(text):
+        out += _eastern(text, taken)
     if rare or flag.hints_at_name(text):
         out += _names(text, flag, taken)
     return out
 
 
+def _eastern(text: str, taken: list[tuple[int, int]]) -> Iterator[tuple]:
+    """Names and addresses in Japanese texts; what is found is taken."""
+    for m in EAST_ADDRESS.finditer(text):
+        if not any(m.start() < e and s < m.end() for s, e in taken):
+            yield "ADDRESS", m.start(), m.end(), vote(1 if EAST_PLACE.search(text[max(0, m.start() - 12) : m.start()]) else 0, 1 if "〒" in m.group() else 0, 0, 1)
+            taken.append(m.span())
+    for m in EAST_NAME.finditer(text):
+        said = EAST_LABEL.search(text[max(0, m.start() - 12) : m.start()])
+        if (said or m.group(1)) and not EAST_OFFICE.search(m.group()) and not any(m.start() < e and s < m.end() for s, e in taken):
+            yield "NAME", m.start(), m.end(), vote(1 if " " in m.group() or "\u3000" in m.group() or "・" in m.group() else 0, 1, 1 if said else 0, 1 if m.group(1) else 0, 1, 0)
+            taken.append(m.span())
+
+
 # 4. The span model
 
 
@@ -592,8 +682,10 @@ def find_mentions(texts: DataFrame, trained_on: int = TRAINED_ON) -> DataFrame:
     lexicon = spark.sparkContext.broadcast((given, surnames))
     read = texts if rest is None else with_rare_words(texts, rest)
 
+    mark = uuid.uuid4().hex
+
     def propose(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        flag = Flags(*lexicon.value)
+        flag = _flags(mark, *lexicon.value)
         for f in frames:
             rows = []
             none = [None] * len(f)

@@ -77,6 +77,57 @@ def test_not_proposed(text):
     assert not {k for k, _ in found(text)} - {"ADDRESS"}
 
 
+@pytest.mark.parametrize(
+    "text, kind, span",
+    [
+        ("ask Élodie Wexmere about it", "NAME", "Élodie Wexmere"),
+        ("ask Łukasz Ulmveld about it", "NAME", "Łukasz Ulmveld"),
+        ("担当者：田中 太郎さんに連絡してください", "NAME", "田中 太郎"),
+        ("山田太郎様へ", "NAME", "山田太郎"),
+        ("氏名：アンナ・ミュラー", "NAME", "アンナ・ミュラー"),
+        ("住所：東京都千代田区丸の内1丁目9-2 です", "ADDRESS", "東京都千代田区丸の内1丁目9-2"),
+        ("ship it to 12 Oak Way, Halder", "ADDRESS", "12 Oak Way, Halder"),
+        ("адрес: ул. Ленина, 12", "ADDRESS", "ул. Ленина, 12"),
+        ("woont in Keizersgracht 12b", "ADDRESS", "Keizersgracht 12b"),
+        ("Tel. ０３０ １２３４５６７８", "PHONE", "０３０ １２３４５６７８"),
+    ],
+)
+def test_other_scripts_and_streets(text, kind, span):
+    assert (kind, span) in found(text)
+
+
+@pytest.mark.parametrize("text", ["担当者様へ", "The Wexmere report", "Mr Wexmere said", "Dear Ulmveld"])
+def test_titles_and_offices_are_no_names(text):
+    assert not any(k == "NAME" and "+" in v[:2] and s.split()[0] in ("The", "Mr", "Dear", "担当者") for k, s, v in [(k, text[a:b], v) for k, a, b, v in pii.candidates(text, lexicon())])
+
+
+def test_cyrillic_names_are_learned(spark):
+    given, last = ["Мария", "Иван", "Ольга", "Пётр"], ["Иванова", "Сидоров", "Кузнецова"]
+    rng = random.Random(3)
+    names = [f"{rng.choice(given)} {rng.choice(last)}" for _ in range(60)]
+    rows = [("documents", i, f"Автор: {n} написал отчёт {i}. Harbor Street is only a code name.") for i, n in enumerate(names)] + [("documents", 100 + i, t) for i, (_, _, t) in enumerate(corpus(60)[0])]
+    got = {(r.row_id, r.start_pos) for r in pii.find_mentions(spark.createDataFrame(rows, TEXT)).collect() if r.pii_type == "NAME"}
+    assert sum((i, 7) in got for i in range(60)) >= 55
+
+
+def test_quick_looks_hide_nothing(monkeypatch):
+    """With and without the looks that spare searches the candidates are the same."""
+    rng = random.Random(4)
+    words = ["12 Oak Way", "Tel. 030/23125-400", "X68879215", "St", "Dr", "3 Elm St.", "7 Main Ave,", "QQ 12 34 56 C", "2026-01-05", "a", "Anna", "Ulmveld", "\u00a0", "\n", "5 rue du Port", "(205) 555-0131", "RARGLB96A83Z026B", "é", "1", "22", "9 High\u00a0Rd"]
+    texts = [" ".join(rng.choices(words, k=12)) for _ in range(400)]
+    flag = lexicon()
+    quick = [pii.candidates(t, flag) for t in texts]
+    monkeypatch.setattr(pii, "has_number", lambda t: True)
+
+    class Every(list):
+        def iter(self, text):
+            return [(0, "street"), (0, "bare"), (0, "number")]
+
+    flag.automaton = Every()
+    monkeypatch.setattr(pii, "STREET_QUICK", pii.re.compile(""))
+    assert quick == [pii.candidates(t, flag) for t in texts]
+
+
 def test_em_finds_reliabilities():
     rng, counts = random.Random(1), {}
     for _ in range(4000):
