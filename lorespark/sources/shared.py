@@ -85,7 +85,8 @@ def stored(spark: SparkSession, name: str, inputs: list[str], build: Callable[[]
     return spark.read.parquet(path)
 
 
-def write_by(df: DataFrame, path: str, by: str | None, buckets: int = 32) -> None:
+def write_by(df: DataFrame, path: str, by: str | None, buckets: int = 32, small: bool = False) -> None:
+    """Laid out for lookups of a column. What is small is one sorted file, in which ``bucket`` is a column like others."""
     if by is None:
         df.write.parquet(path)
         return
@@ -93,6 +94,9 @@ def write_by(df: DataFrame, path: str, by: str | None, buckets: int = 32) -> Non
 
     # a hot value's rows are spread over the tasks by a salt; each bucket is some files, sorted for row-group statistics
     laid = df.withColumn("bucket", F.pmod(F.xxhash64(by), F.lit(buckets)).cast("int"))
+    if small:
+        laid.coalesce(1).sortWithinPartitions("bucket", by).write.parquet(path)
+        return
     laid.repartition("bucket", F.floor(F.rand(5) * 4)).sortWithinPartitions("bucket", by).write.partitionBy("bucket").parquet(path)
 
 

@@ -13,6 +13,18 @@ from lorespark.sources.shared import kept
 TABLES = ("nodes", "edges")
 
 
+def replace_file(spark: SparkSession, path: str, content: bytes) -> None:
+    """Written beside, then renamed over in one step: a reader sees the old file or the new one."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    at, beside = hadoop.Path(path), hadoop.Path(f"{path}.new")
+    stream = at.getFileSystem(spark._jsc.hadoopConfiguration()).create(beside, True)
+    stream.write(bytearray(content))
+    stream.close()
+    options = spark._sc._gateway.new_array(getattr(hadoop, "Options$Rename"), 1)
+    options[0] = getattr(hadoop, "Options$Rename").OVERWRITE
+    hadoop.FileContext.getFileContext(beside.toUri(), spark._jsc.hadoopConfiguration()).rename(beside, at, options)
+
+
 class GenerationStore:
     """``root`` is a path of any Hadoop file system; all writing of files goes through it."""
 
@@ -32,14 +44,7 @@ class GenerationStore:
 
     def _point(self, name: str, generation: str) -> None:
         """Written beside, then renamed over: a reader sees the old pointer or the new one."""
-        stream = self._fs.create(self._path(f"{self.root}/{name}.new"), True)
-        stream.write(bytearray(json.dumps({"generation": generation}).encode()))
-        stream.close()
-        jvm = self.spark._jvm
-        context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._path(self.root).toUri(), self.spark._jsc.hadoopConfiguration())
-        options = self.spark._sc._gateway.new_array(getattr(jvm.org.apache.hadoop.fs, "Options$Rename"), 1)
-        options[0] = getattr(jvm.org.apache.hadoop.fs, "Options$Rename").OVERWRITE
-        context.rename(self._path(f"{self.root}/{name}.new"), self._path(f"{self.root}/{name}"), options)
+        replace_file(self.spark, f"{self.root}/{name}", json.dumps({"generation": generation}).encode())
 
     def write(self, nodes: DataFrame, edges: DataFrame) -> str:
         """The generation's name, a hash of its content; an equal graph is not written again."""

@@ -122,3 +122,60 @@ def test_no_folder_of_one_machine_on_a_cluster(spark):
         shared.shared_folder(Session())
     assert shared.shared_folder(spark).startswith("file://")
     assert spark.range(3).select(F.col("id")).transform(shared.kept).count() == 3
+
+
+def test_wiki_pages_are_indexed_one_by_one(spark, tmp_path):
+    from lorespark.sources.wiki import Wiki
+
+    wiki = Wiki(spark, f"file://{tmp_path}/wiki")
+    assert wiki.pages().count() == 0 and wiki.finalise("r0", "2026-01-01T00:00:00Z")
+    assert wiki.write("a/b.md", "# Title\n\nalpha beta\n") == (1, 0)
+    assert wiki.write("c.md", "gamma\n") == (1, 0)
+    assert wiki.read("a/b.md").startswith("# Title") and {r.page for r in wiki.pages().collect()} == {"a/b.md", "c.md"}
+    assert wiki.write("a/b.md", "# Title\n\nalpha beta\n") == (0, 0)
+    assert wiki.write("a/b.md", "# Title\n\nalpha delta\n") == (1, 1)
+    hit = lambda q: wiki.index.bm25(q).count()
+    assert (hit("alpha"), hit("beta"), hit("delta"), hit("gamma")) == (1, 0, 1, 1)
+    assert wiki.write("c.md", "") == (0, 1) and hit("gamma") == 0 and wiki.read("c.md") == "" and wiki.index.manifest()["texts"] == 1
+    for bad in ("../x.md", "/x.md", "x.txt"):
+        with pytest.raises(ValueError):
+            wiki.write(bad, "")
+    with pytest.raises(FileNotFoundError):
+        wiki.read("none.md")
+    assert wiki.finalise("r1", "2026-01-02T00:00:00Z", "two pages") and not wiki.finalise("r2", "2026-01-03T00:00:00Z")
+    assert wiki.state()["run"] == "r1"
+    wiki.purge("index", "state")
+    assert wiki.state() is None and wiki.index.manifest()["segments"] == [] and wiki.pages().count() == 2
+
+
+def test_schedules(spark, tmp_path):
+    from lorespark.sources.schedules import ScheduleStore, problems
+
+    store = ScheduleStore(spark, f"file://{tmp_path}/schedules.json")
+    good = {"id": "b", "command": "ingest", "cron": "0 9 * * mon", "enabled": True, "source_id": "s", "timezone": "Europe/Rome"}
+    assert store.list() == [] and store.set(good) and not store.set(good) and store.set(good | {"enabled": False})
+    assert store.set({"id": "a", "command": "update", "cron": "* * * * *", "enabled": True})
+    assert [r.id for r in store.table().collect()] == ["a", "b"] and store.remove("b") and not store.remove("b")
+    for change in ({"id": "../x"}, {"command": "delete"}, {"cron": "x"}, {"timezone": "Mars/Base"}, {"enabled": "yes"}, {"command": "update"}, {"more": 1}, {"source_id": "password=hunter2secret"}):
+        assert problems(spark, good | change), change
+        with pytest.raises(ValueError):
+            store.set(good | change)
+
+
+def test_overview(spark):
+    from lorespark.operators import overview
+
+    nodes = spark.createDataFrame([("a", "module", "m/a", "a"), ("b", "symbol", "s/b", "main"), ("p", "page", "p", "page")], "id string, kind string, path string, name string")
+    edges = spark.createDataFrame([("e1", "calls", "a", "b", "exact"), ("e2", "mentions", "p", "b", "ambiguous"), ("e3", "imports", "a", "b", "exact")], EDGES)
+    loops = spark.createDataFrame([(["a", "b"],), (["a", "b"],)], "cycle array<string>")
+    got = rows(overview.architecture_map(nodes, edges, loops, 1))
+    assert got == {("modules", 1, "a", None, False), ("entrypoints", 1, "b", None, False), ("hubs", 1, "b", 3, True), ("cycles", 1, "a > b", None, False), ("flows", 1, "m/a > s/b", 1, False)}
+    assert overview.architecture_map(nodes.where("false"), edges.where("false"), loops.where("false"), 5).count() == 0
+    member = spark.createDataFrame([("b", "a"), ("a", "a")], "node_id string, community_id string")
+    assert rows(overview.explain_node(nodes, edges, "MAIN", member, True)) == {("node", "id", "b"), ("node", "kind", "symbol"), ("node", "path", "s/b"), ("node", "name", "main"), ("neighbour", "a", "a"), ("neighbour", "p", "page"), ("community", "a", "2"), ("community stale", "a", "true"), ("cited by", "p", "p")}
+    assert overview.explain_node(nodes, edges, "strange", member, True).count() == 0
+    files = spark.createDataFrame([("x", "1"), ("y", "2"), ("z", None)], "path string, source_id string")
+    assert rows(overview.status(files, files)) == {(True, 3, 0, 0, 0)}
+    assert rows(overview.status(files.where("path <> 'x'"), files.withColumn("source_id", F.lit("2")))) == {(False, 2, 0, 1, 1)}
+    assert rows(overview.doctor({"good": nodes.where("false"), "bad": nodes, "so so": edges}, ("so so",))) == {("good", "pass", 0), ("bad", "fail", 3), ("so so", "warn", 3)}
+    assert rows(overview.ambiguous_edges(edges).select("id")) == {("e2",)}
