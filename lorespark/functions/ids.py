@@ -33,11 +33,13 @@ def bucket(digest: Column) -> Column:
 
 
 def fingerprint(rows, *parts: str, by: str):
-    """SHA-256 over all rows in the order of ``by``: of each row the parts, each followed by NUL.
+    """SHA-256 over all rows: of each row the parts, each followed by NUL, under the hash of ``by``.
 
-    Hashes of rows are combined in 4,096 ranges of the ordering's hash first, so no task holds more than a range's
-    digests: the result is the hash of the ranges' hashes, the same for any partitioning.
+    Hashes are combined by the first six digits of the key's hash, these by the first three, and those into one, so
+    no task holds more than some thousands of digests and any partitioning gives the same.
     """
-    row = content_hash(*[F.col(p) for p in parts])
-    ranges = rows.select(F.col(by).alias("_by"), row.alias("_h")).groupBy(F.substring(F.sha2(F.col("_by").cast("string"), 256), 1, 3).alias("_range")).agg(F.sha2(F.array_join(F.sort_array(F.collect_list(F.concat_ws("\x00", F.col("_by").cast("string"), "_h"))), "\n"), 256).alias("_d"))
-    return ranges.agg(F.sha2(F.array_join(F.sort_array(F.collect_list(F.concat("_range", "_d"))), "\n"), 256).alias("fingerprint"))
+    key, row = F.col(by).cast("string"), content_hash(*[F.col(p) for p in parts])
+    combined = lambda item: F.sha2(F.array_join(F.sort_array(F.collect_list(item)), "\n"), 256).alias("_d")
+    out = rows.select(F.substring(F.sha2(key, 256), 1, 6).alias("_range"), F.concat_ws("\x00", key, row).alias("_h")).groupBy("_range").agg(combined(F.col("_h")))
+    out = out.groupBy(F.substring("_range", 1, 3).alias("_wide")).agg(combined(F.concat("_range", "_d")))
+    return out.agg(combined(F.concat("_wide", "_d"))).withColumnRenamed("_d", "fingerprint")

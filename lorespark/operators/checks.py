@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lorespark.functions.ids import chunk_id
+from lorespark.operators.order import running
 from lorespark.operators.snapshots import digest, relative_path
 
 PLANES = ("code", "concept", "wiki")
@@ -71,12 +72,6 @@ def changed_rows(old: DataFrame, new: DataFrame, key: str, value: str) -> DataFr
 
 
 def within_bytes(rows: DataFrame, key: str, text: str, limit: int) -> DataFrame:
-    """(key, bytes, total): rows in the order of keys as long as their bytes together stay within the limit.
-
-    The running sum is taken over ranges of the sorted keys first, so that only the range in which the limit falls and those
-    before it are kept; a response is bounded by the limit, whatever the table's size.
-    """
+    """(key, bytes, total): rows in the order of keys as long as their bytes together stay within the limit, rows without bytes among them."""
     sized = rows.select(key, F.coalesce(F.octet_length(text), F.lit(0)).cast("bigint").alias("bytes"))
-    # no more rows than bytes can fit, rows of no bytes aside: these are bounded by the same number
-    first = sized.orderBy(key).limit(limit)
-    return first.withColumn("total", F.sum("bytes").over(Window.orderBy(key).rowsBetween(Window.unboundedPreceding, 0))).where(F.col("total") <= limit)
+    return running(sized, [F.col(key)], F.col("bytes"), "total").where(F.col("total") <= limit)

@@ -285,7 +285,7 @@ _FAULTY = """, bad as (select id, kind, from_id, to_id, case when substr(id, 1,
   select 'edge id repeated' as rule, id as key from bad group by id having count(*) > 1
   union all select 'edge label illegal', id from bad where confidence = 'extracted' and kind not in ('mentions')
   union all select 'edge id wrong', id from bad where id <> {_ID}
-  union all select 'node id wrong', id from nodes)""")
+  union all select 'node id wrong', id from nodes where id <> sha256('node' || chr(0) || kind || chr(0) || path || chr(0) || name || chr(0) || chr(0)))""")
 def graph_violations(spark: SparkSession, sf: str) -> DataFrame:
     e = graph_index(spark, sf).edges  # read once for each rule
     bad = e.withColumn("confidence", F.when(F.col("id").startswith("00"), "extracted").otherwise(F.col("confidence"))).unionByName(e.where("id like '01%'"))

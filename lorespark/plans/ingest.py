@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,13 +9,25 @@ from lorespark.functions import text as T
 from lorespark.functions.canonical import canonical_map
 from lorespark.operators import ingest
 from lorespark.plans.registry import query
+from lorespark.sources.shared import shared_folder
 from lorespark.sources.tables import table
 from lorespark.streaming.ingest import append_novel
 
+# The expressions of the redaction, written out for the SQL.
+_RULES = (
+    (r"(?i)-----BEGIN [A-Z0-9 ]*PRIVATE KEY-----[\s\S]*?-----END [A-Z0-9 ]*PRIVATE KEY-----", "[REDACTED]"),
+    (r"(?i)\b(?:proxy-)?authorization\s*[:=]\s*(?:bearer|basic)?\s*[A-Za-z0-9._~+/=-]{8,}", "authorization: [REDACTED]"),
+    (r"(?i)\bbearer\s+[A-Za-z0-9._~+/=-]{8,}", "Bearer [REDACTED]"),
+    (r"(?i)\b(?:api[_-]?key|access[_-]?token|refresh[_-]?token|auth[_-]?token|client[_-]?secret|password|passwd|private[_-]?key|secret|token)\s*[:=]\s*[\"'']?[A-Za-z0-9._~+/=-]{8,}[\"'']?", "[REDACTED]"),
+    (r"(?i)\bxox[baprs]-[A-Za-z0-9-]{10,}\b", "[REDACTED]"),
+    (r"\bsk-(?:proj-)?[A-Za-z0-9_-]{12,}\b", "[REDACTED]"),
+    (r"\bgh[pousr]_[A-Za-z0-9]{20,}\b", "[REDACTED]"),
+    (r"\beyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\b", "[REDACTED]"),
+    (r"(?i)\b(https?://)[^\s/@:]+:[^\s/@]+@", r"\1[REDACTED]@"),
+)
 _REDACT = "replace(text, chr(0), '')"
-for _p, _r in T.REDACTIONS:
-    _q = _p.replace(T._B, r"\b").replace(T._E, r"\b").replace("'", "''")
-    _REDACT = f"regexp_replace({_REDACT}, '{_q}', '{_r.replace('$1', chr(92) + '1')}', 'g')"
+for _p, _r in _RULES:
+    _REDACT = f"regexp_replace({_REDACT}, '{_p}', '{_r}', 'g')"
 _JSON = "case when metadata is not null then '{' || array_to_string(list_transform(list_sort(map_keys(metadata)), lambda k: to_json(k)::varchar || ':' || coalesce(to_json(metadata[k])::varchar, 'null')), ',') || '}' end"
 _CONTENT = f"sha256(coalesce(title, '') || chr(0) || coalesce(text, '') || chr(0) || coalesce(url, '') || chr(0) || coalesce(epoch_us(occurred_at)::varchar, '') || chr(0) || coalesce({_JSON}, ''))"
 _RUNS = "runs as (select source_id, run_hash, max(fetched_at) as fetched_at, count(distinct item_id) as items from source_items group by all)"
@@ -104,8 +114,7 @@ def event_totals(spark: SparkSession, sf: str) -> DataFrame:
 @query("select event_id, user_id, event_type from events")
 def stream_ingest(spark: SparkSession, sf: str) -> DataFrame:
     """The events as a file stream, appended once each; running it again adds nothing."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="stream")
-    root = f"{root}/stream-{spark.sql('select uuid()').first()[0]}"
+    root = f"{shared_folder(spark)}/stream-{spark.sql('select uuid()').first()[0]}"
     schema = table(spark, sf, "events").schema
     for _ in range(2):
         stream = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf}/event[s].parquet")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lorespark.functions import text as T
 from lorespark.functions.ids import bucket, chunk_id
 from lorespark.operators import checks, pages, scan
+from lorespark.operators.order import numbered
 from lorespark.operators.snapshots import chain
 from lorespark.plans.graphs import TG, tg_nodes
 from lorespark.plans.registry import query
@@ -67,10 +68,11 @@ def path_relative(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "graph_shards").select("workspace_id", "path").distinct().withColumn("relative", T.is_relative(F.col("path")))
 
 
-_MAP = "map {" + ", ".join(f"'{k}': '{v}'" for k, v in T.LANGUAGES.items()) + "}"
-
-
-@query(rf"select distinct workspace_id, path, coalesce({_MAP}[lower(regexp_extract(path, '\.([A-Za-z0-9]+)$', 1))], 'text') as detected from graph_files")
+@query(
+    r"with x as (select distinct workspace_id, path, lower(regexp_extract(path, '\.([A-Za-z0-9]+)$', 1)) as e from graph_files) select workspace_id, path, case "
+    "when e in ('ts', 'tsx', 'mts', 'cts') then 'typescript' when e in ('js', 'jsx', 'mjs', 'cjs') then 'javascript' when e in ('py') then 'python' when e in ('go') then 'go' when e in ('rs') then 'rust' when e in ('java') then 'java' when e in ('kt', 'kts') then 'kotlin' when e in ('cs') then 'csharp' when e in ('c', 'h') then 'c' when e in ('cc', 'cpp', 'cxx', 'hpp') then 'cpp' when e in ('rb') then 'ruby' when e in ('php') then 'php' when e in ('sh', 'bash', 'zsh') then 'shell' when e in ('md', 'mdx') then 'markdown' when e in ('json') then 'json' when e in ('yaml', 'yml') then 'yaml' when e in ('toml') then 'toml'"
+    " else 'text' end as detected from x"
+)
 def detect_language(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "graph_files").select("workspace_id", "path").distinct().withColumn("detected", T.language(F.col("path")))
 
@@ -159,10 +161,8 @@ def changed_paths(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("select name, row_number() over (order by lower(name), name)::int as place from (select distinct p_name as name from part)")
 def locale_sort(spark: SparkSession, sf: str) -> DataFrame:
-    from pyspark.sql import Window
-
     names = table(spark, sf, "part").select(F.col("p_name").alias("name")).distinct()
-    return names.select("name", F.row_number().over(Window.orderBy(F.lower("name"), "name")).alias("place"))
+    return numbered(names, [F.lower("name"), F.col("name")]).withColumn("place", F.col("place").cast("int"))
 
 
 @query()

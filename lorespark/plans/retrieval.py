@@ -119,8 +119,9 @@ def estimate_tokens(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("""
-with r as (select substr(sha256(doc_id::varchar), 1, 3) as k, doc_id::varchar || chr(0) || sha256(doc_id::varchar || chr(0) || coalesce(text, '')) as h from documents),
-  d as (select k, sha256(string_agg(h, chr(10) order by h)) as d from r group by k)
+with r as (select substr(sha256(doc_id::varchar), 1, 6) as k, doc_id::varchar || chr(0) || sha256(doc_id::varchar || chr(0) || coalesce(text, '')) as h from documents),
+  s as (select k, sha256(string_agg(h, chr(10) order by h)) as d from r group by k),
+  d as (select substr(k, 1, 3) as k, sha256(string_agg(k || d, chr(10) order by k || d)) as d from s group by substr(k, 1, 3))
 select sha256(string_agg(k || d, chr(10) order by k || d)) as fingerprint from d
 """)
 def content_fingerprint(spark: SparkSession, sf: str) -> DataFrame:

@@ -44,6 +44,18 @@ def source_ids(files: DataFrame, blobs: DataFrame) -> DataFrame:
     return text.join(blobs, "path", "left").withColumn("source_id", F.coalesce(F.concat(F.lit("git:"), F.col("blob")), hashed)).drop("blob")
 
 
+def skipped_files(spark: SparkSession, root: str, most_bytes: int = 5 * 1024 * 1024) -> DataFrame:
+    """(path, code) of the files that ``read_repository`` leaves out although no rule excludes them: too large, or binary."""
+    from lorespark.functions.text import excluded
+
+    root = root.rstrip("/")
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    path = F.regexp_replace(F.regexp_replace("path", "^file:/*", "/"), "^" + re.escape(root) + "/", "")
+    large = raw.where(F.col("length") > most_bytes).select(path.alias("path"), F.lit("FILE_TOO_LARGE").alias("code"))
+    binary = raw.where((F.col("length") <= most_bytes) & F.contains("content", F.lit(b"\x00"))).select(path.alias("path"), F.lit("BINARY_FILE").alias("code"))
+    return large.unionAll(binary).where(~excluded(F.col("path")))
+
+
 def read_repository(spark: SparkSession, root: str, most_bytes: int = 5 * 1024 * 1024) -> DataFrame:
     """(path, content, size, content_hash) of a directory's text files, excluded ones and larger ones left out by the scan's own metadata."""
     from lorespark.functions.text import excluded

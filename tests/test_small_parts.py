@@ -38,6 +38,8 @@ def test_repository(spark, tmp_path):
     (tmp_path / "src/b.bin").write_bytes(b"\x10\x00\x01")
     (tmp_path / "src/c.bin").write_bytes(b"\x10\x01")
     (tmp_path / "node_modules/d.js").write_text("x")
+    assert {tuple(r) for r in git.skipped_files(spark, str(tmp_path), 9).collect()} == {("src/b.bin", "BINARY_FILE")}
+    assert {tuple(r) for r in git.skipped_files(spark, str(tmp_path), 2).collect()} == {("src/a.py", "FILE_TOO_LARGE"), ("src/b.bin", "FILE_TOO_LARGE")}
     assert {r.path: r.content for r in git.read_repository(spark, str(tmp_path)).collect()} == {"src/a.py": "x = 'é'\n", "src/c.bin": "\x10\x01"}
 
 
@@ -61,3 +63,20 @@ def test_streams(spark, tmp_path):
         out.writeStream.format("memory").queryName(name).outputMode("append").trigger(availableNow=True).start().awaitTermination()
     assert sorted(r.k for r in spark.table("dedupe").collect()) == list("01234")
     assert all(r.n == 2 and r.total == 2.0 for r in spark.table("counts").collect())
+
+
+def test_places_and_running_sums_over_ranges(spark):
+    from lorespark.operators.checks import within_bytes
+    from lorespark.operators.order import numbered
+
+    df = spark.range(200).selectExpr("cast(199 - id as int) as k", "case when id % 3 = 0 then 'ab' else '' end as t").repartition(7)
+    assert {(r.k, r.place) for r in numbered(df, [F.col("k")]).collect()} == {(k, k + 1) for k in range(200)}
+    got = sorted((r.k, r.bytes, r.total) for r in within_bytes(df, "k", "t", 6).collect())
+    want, total = [], 0
+    for k in range(200):
+        n = 2 if (199 - k) % 3 == 0 else 0
+        total += n
+        if total <= 6:
+            want.append((k, n, total))
+    assert got == want
+    assert numbered(df.where("false"), [F.col("k")]).count() == 0
