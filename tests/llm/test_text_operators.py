@@ -196,3 +196,25 @@ def test_isotonic_is_monotone_and_keeps_the_mean(points):
     assert (np.diff(mean) > 0).all() and (np.diff(end) > 0).all() and end[-1] == x.max()
     fitted = mean[np.searchsorted(end, x)]
     assert abs(fitted.mean() - y.mean()) < 1e-9
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 4), st.floats(-9, 9)), max_size=40))
+def test_quartiles_of_many_owners_at_once(pairs):
+    import numpy as np
+
+    x, owner = np.array([p[1] for p in pairs], float), np.array([p[0] for p in pairs], int)
+    got = reading.quartile_means(x, owner, 6)
+    for k in range(6):
+        own = x[owner == k]
+        assert got[k] == pytest.approx(np.quantile(own, reading.QUARTILES).mean() if len(own) else 0)
+
+
+def test_weights_follow_the_text():
+    rng = random.Random(9)
+    chained = [[["a", "b", "c", "d"] * 3 for _ in range(4)] for _ in range(60)]
+    mixed = [[[rng.choice("abcdefgh") for _ in range(12)] for _ in range(4)] for _ in range(60)]
+    ratings = [float(1 + k % 4) for k in range(60)]
+    one, two = reading.Levels(chained, ratings).weights, reading.Levels(mixed, ratings).weights
+    assert abs(sum(one) - 1) < 1e-9 and one[0] > 0.8 > two[0] and two[1] > one[1]
+    assert reading.Levels(chained[:3], ratings[:3]).weights == reading.WEIGHTS
