@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lorespark.functions.text import trigrams, words
-from lorespark.sources.shared import spread
+from lorespark.sources.shared import one_row, spread
 
 K1, B = 1.2, 0.75
 TRIGRAM_WEIGHT = 0.01
@@ -23,7 +23,7 @@ def document_frequencies(docs: DataFrame, text: str) -> DataFrame:
 
 
 def _of_query(spark, query: str, expression) -> list[str]:
-    return spark.range(1).select(expression(F.lit(query))).first()[0]
+    return one_row(spark).select(expression(F.lit(query))).first()[0]
 
 
 def bm25(docs: DataFrame, key: str, text: str, query: str) -> DataFrame:

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from lorespark.functions.text import trigrams, words
 from lorespark.operators.lexical import B, K1, TRIGRAM_WEIGHT, _of_query
-from lorespark.sources.shared import file_system, kept, looked_up, spread, write_by
+from lorespark.sources.shared import file_system, kept, looked_up, read_file, spread, write_by
 
 #: Words up to which a segment is small.
 SMALL = 200_000
@@ -41,8 +41,7 @@ class LexicalIndex:
     def manifest(self) -> dict:
         """The newest complete one. A manifest is a new file each time, so readers see the old or the new state."""
         for name in reversed(self._manifests()):
-            text = "".join(r[0] for r in self.spark.read.text(f"{self.root}/manifests/{name}", wholetext=True).collect())
-            return json.loads(text)
+            return json.loads(read_file(self.spark, f"{self.root}/manifests/{name}"))
         return {"segments": [], "texts": 0, "words": 0, "version": 0}
 
     def _publish(self, segments: list[str], texts: int, n_words: int, version: int) -> None:

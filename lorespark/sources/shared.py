@@ -50,6 +50,21 @@ def file_system(spark: SparkSession, path: str):
     return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
 
 
+def one_row(spark: SparkSession) -> DataFrame:
+    """A local relation of one row: what is selected from it is computed by the optimizer, without a job."""
+    return spark.sql("select * from values (1) as t(one)")
+
+
+def read_file(spark: SparkSession, path: str) -> str:
+    """A small text file, read by the driver."""
+    fs, at = file_system(spark, path)
+    stream = fs.open(at)
+    try:
+        return spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
 def state_of(spark: SparkSession, *paths: str) -> str:
     """A mark of the files at some paths: names, lengths and times of change. Other files give another mark."""
     marks = []
@@ -108,5 +123,5 @@ def looked_up(df: DataFrame, by: str, values: list[str], buckets: int = 32) -> D
     wanted = list(dict.fromkeys(values))
     if not wanted:
         return df.where("false").drop("bucket")
-    at = spark.createDataFrame([(v,) for v in wanted], f"v {df.schema[by].dataType.simpleString()}").select(F.collect_set(F.pmod(F.xxhash64("v"), F.lit(buckets)).cast("int"))).first()[0]
-    return df.where(F.col("bucket").isin(at) & F.col(by).isin(wanted)).drop("bucket")
+    at = one_row(spark).select(F.transform(F.array(*map(F.lit, wanted)), lambda v: F.pmod(F.xxhash64(v), F.lit(buckets)).cast("int"))).first()[0]
+    return df.where(F.col("bucket").isin(sorted(set(at))) & F.col(by).isin(wanted)).drop("bucket")

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lorespark.functions.vectors import dot, norm, quantised, unit
-from lorespark.sources.shared import file_system
+from lorespark.sources.shared import file_system, read_file
 from lorespark.sources.store import upsert
 
 
@@ -44,7 +44,7 @@ class VectorStore:
         """The newest entry of a model, or None."""
         folder = f"{self._folder(model, revision)}/manifest"
         names = self._entries(folder)
-        return json.loads("".join(r[0] for r in self.spark.read.text(f"{folder}/{names[-1]}", wholetext=True).collect())) if names else None
+        return json.loads(read_file(self.spark, f"{folder}/{names[-1]}")) if names else None
 
     def mark_unavailable(self, model: str, revision: str, reason: str) -> None:
         """Search by this model is off from now on; its vectors stay."""

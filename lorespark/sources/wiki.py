@@ -11,7 +11,7 @@ from lorespark.functions.ids import chunk_id, fingerprint
 from lorespark.functions.text import is_relative
 from lorespark.operators.pages import chunk_pages, lines_of
 from lorespark.sources.lexical_index import LexicalIndex
-from lorespark.sources.shared import file_system, kept
+from lorespark.sources.shared import file_system, kept, one_row, read_file
 from lorespark.sources.store import replace_file, upsert
 
 
@@ -32,7 +32,7 @@ class Wiki:
 
     def _file(self, page: str) -> str:
         """The file of a page; only relative Markdown paths within the folder are pages."""
-        inside = self.spark.range(1).select(is_relative(F.lit(page))).first()[0]
+        inside = one_row(self.spark).select(is_relative(F.lit(page))).first()[0]
         if not inside or not page.endswith(".md"):
             raise ValueError(f"no page: {page}")
         return f"{self.root}/pages/{page}"
@@ -83,7 +83,7 @@ class Wiki:
 
     def state(self) -> dict | None:
         fs, at = file_system(self.spark, f"{self.root}/state.json")
-        return json.loads("".join(r[0] for r in self.spark.read.text(f"{self.root}/state.json", wholetext=True).collect())) if fs.exists(at) else None
+        return json.loads(read_file(self.spark, f"{self.root}/state.json")) if fs.exists(at) else None
 
     def finalise(self, run: str, completed_at: str, summary: str = "") -> bool:
         """Seals a run with the hash of all pages; nothing is written, and the answer is no, if that hash is the last run's."""
