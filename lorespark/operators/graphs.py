@@ -276,11 +276,16 @@ def community_summary(nodes: DataFrame, membership: DataFrame, most: int = 200,
     return size.join(first, "community_id", "left").join(top, "community_id", "left").select("community_id", "members", "first_members", (F.col("members") > most).alias("truncated"), "top_terms")
 
 
+# The wording of the two kinds of questions.
+ABOUT_NODE = "What depends on %s (%s), and what would break if it changed?"
+ABOUT_COMMUNITY = 'What is the shared purpose of the %d nodes in community "%s" (top terms: %s)?'
+
+
 def questions(gods: DataFrame, communities: DataFrame) -> DataFrame:
     """(question) about the three nodes with most edges (name, degree) and the three largest communities of more than one member."""
     terms = F.coalesce(F.nullif(F.array_join("top_terms", ", "), F.lit("")), F.lit("no shared terms"))
-    a = gods.orderBy(F.desc("degree"), "id").limit(3).select(F.format_string("What depends on %s (%s), and what would break if it changed?", "name", "path").alias("question"))
-    b = communities.orderBy(F.desc("members"), "community_id").limit(3).where("members > 1").select(F.format_string('What is the shared purpose of the %d nodes in community "%s" (top terms: %s)?', "members", "community_id", terms).alias("question"))
+    a = gods.orderBy(F.desc("degree"), "id").limit(3).select(F.format_string(ABOUT_NODE, "name", "path").alias("question"))
+    b = communities.orderBy(F.desc("members"), "community_id").limit(3).where("members > 1").select(F.format_string(ABOUT_COMMUNITY, "members", "community_id", terms).alias("question"))
     return a.union(b)
 
 
