@@ -56,7 +56,7 @@ GIVEN = frozenset(
 # Words that stand before a person, and before things.
 PERSON_BEFORE = re.compile(
     r"(?:\b(?:author|from|signed-off-by|reviewed by|interviewed|cc|contact|ask|ask for|thanks to|according to|laut|secondo|según|selon|d'après|sentire|reach|regards,|grüße,?|saluti,?|cordialement,?|saludos,?"
-    r"|(?:number|address|e-?mail|account) of|goes to|(?:sent?d?|ship(?:ped)?|deliver(?:ed)?|handed|given?|assigned|forwarded) (?:\S+ ){0,3}to|laptop to|applicant|ansprechp(?:erson|artner(?:in)?)(?: ist)?|contacto(?: es)?|chez|zu händen|z\. ?hd\.|atención de|attn|attention"
+    r"|(?:number|address|e-?mail|account) of|goes to|(?:sent?d?|ship(?:ped)?|deliver(?:ed)?|handed|given?|assigned|forwarded) (?:\S+ ){0,3}to|applicant|ansprechp(?:erson|artner(?:in)?)(?: ist)?|contacto(?: es)?|chez|zu händen|z\. ?hd\.|atención de|attn|attention"
     r"|(?:spedire|inviare|scrivere|chiedere) a|list|on (?:file|record)|owner|reporter|name|fyi|contact person|mr|mrs|ms|dr|prof|frau|herr|sig|mme|señora?|доктор|господин|госпожа|автор|контакт)"
     r"\s*[:：=.]?[\"']*\s*[:=]?\s*[\"'(]?\s*|(?:連絡先|担当者?|氏名|名前|作成者|宛先)：|（)$",
     re.I,
@@ -136,7 +136,7 @@ PHONE_WORDS = re.compile(r"(?:call|tel|tél|phone|ring|text|sms to|reach|number|
 ID_WORDS = re.compile(r"\b(?:id|ssn|passport|tax|insurance|national(?:_id)?|ausweis|personalausweis|steuer\w*|codice fiscale|documento|identidad|identité|sozialversicherung\w*|versicherung\w*|personal number|nif|nie|dni|badge|social security)\b(?:(?<=n[ro])\.|_id\b|[^.\n;|]){0,24}$", re.I)
 THING_WORDS = re.compile(r"(?:order|checksum|build|trace|commit|revisions?|lines?|version|retry|batch|ticket|rev|offset|depth|limit|width|total|score|weight|budget|port|issue|page|step|lane|after)\W*$", re.I)
 PLACE_WORDS = re.compile(
-    r"(?:invoice to|visit us at|office is at|moved (?:from|to)|lives? (?:at|in)|chez [^\n]{2,40},|lieferadresse:|\b(?:ship|send|sent|deliver(?:ed)?|laptop|spedire|inviare|envoyer|livraison|liefern|enviar|equipo) (?:\S+ ){0,2}(?:to|a|à|an|chez) (?:[^\n]{2,40},)?"
+    r"(?:invoice to|visit us at|office is at|moved (?:from|to)|lives? (?:at|in)|\b(?:to|chez) [^\n,]{2,40},|lieferadresse:|\b(?:ship|send|sent|deliver(?:ed)?|spedire|inviare|envoyer|liefern|enviar) (?:\S+ ){0,2}(?:to|a|à|an|chez) (?:[^\n]{2,40},)?"
     r"|address:?|indirizzo:?|dirección:?|adresse:?|адрес:?|on (?:file|record): [^\n]{2,60},|\baddr(?:ess)?\w*\s?[=:]\s?[\"']?|\n)\s*$",
     re.I,
 )
