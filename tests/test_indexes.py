@@ -1,8 +1,11 @@
 """Stored indexes agree with the operators that read everything, and are updated without a rebuild."""
 
+from pathlib import Path
+
 import pytest
 from pyspark.sql import functions as F
 
+from lorespark.functions.ids import edge_id
 from lorespark.operators import graphs, lexical
 from lorespark.sources import shared
 from lorespark.sources.graph_index import GraphIndex
@@ -81,6 +84,20 @@ def test_graph_index(spark, tmp_path):
     assert len(calls) == 2
 
 
+def test_graph_index_stores_no_id_that_can_be_made_again(spark, tmp_path):
+    (tmp_path / "in").write_text("x")
+    bare = spark.createDataFrame([("calls", f"n{i % 700}", f"n{i * 3 % 1100}", "exact") for i in range(20_000)], "kind string, from_id string, to_id string, confidence string").distinct()
+    ids = bare.select(edge_id(*[F.col(c) for c in ("kind", "from_id", "to_id", "confidence")]).alias("id"), "*")
+    odd = ids.unionAll(spark.createDataFrame([("own", "calls", "n1", "n2", "exact")], ids.schema))
+    folder = shared.shared_folder(spark).removeprefix("file://")
+    for name, edges, whole in (("hashed", ids, ids), ("none", bare, ids), ("odd", odd, odd)):
+        g = GraphIndex(spark, f"{name}-{tmp_path.name}", [f"file://{tmp_path}/in"], lambda edges=edges: edges)
+        assert rows(g.edges) == rows(whole) and g.edges.columns == ids.columns
+        assert rows(g.at(["n1"])) == rows(g.at(spark.createDataFrame([("n1",)], "id string"))) == rows(g.at(["n1", *[f"no{i}" for i in range(300)]]))
+        stored = sum(f.stat().st_size for f in Path(folder, "stored").glob(f"{name}-{tmp_path.name}*/**/*.parquet"))
+        assert stored < 20 * whole.count()  # an id alone has 64 hex digits, of 32 bytes at best
+
+
 def test_pointer_is_replaced_in_one_step(spark, tmp_path):
     store = GenerationStore(spark, f"file://{tmp_path}/g")
     for name in ("a", "b"):
