@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from lorespark.operators import graphs as G
 from lorespark.operators import iterative as I
@@ -157,3 +158,30 @@ def test_distances_reach_every_node(spark, star):
     assert got == pytest.approx(wanted) and {"P:17", "C:10", "N:1"} <= set(got) and not {"C:1", "N:2"} & set(got)
     pages = G.semantic(P.tg_edges(spark, star)).where("kind in ('calls', 'references')")
     assert max(r.d for r in I.distances(pages, "S:5").collect()) == 5  # farther than 3
+
+
+def test_edges_stay_where_they_are(spark):
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        nodes = spark.createDataFrame([(f"n{i}",) for i in range(20)], "id string")
+        g = spark.createDataFrame([(f"e{i}", "calls", f"n{i % 23}", f"n{i * 7 % 19}", "exact") for i in range(100)] + [("z", "calls", None, "n1", "exact")], "id string, kind string, from_id string, to_id string, confidence string")
+        inside = G.contained(g, nodes)
+        assert {r.id for r in inside.collect()} == {f"e{i}" for i in range(100) if i % 23 < 20}
+        assert "Exchange hashpartitioning" not in inside._jdf.queryExecution().executedPlan().toString()
+        assert {(r.id, r.missing) for r in G.dangling(g, nodes).collect()} == {(f"e{i}", f"n{i % 23}") for i in range(100) if i % 23 >= 20} | {("z", None)}
+        roots = spark.createDataFrame([("n1",)], "id string")
+        short = G.impact(g, roots, "outbound", 4, via=False)
+        assert short.columns == ["id", "depth"] and {tuple(r) for r in short.collect()} == {(r.id, r.depth) for r in G.impact(g, roots, "outbound", 4).collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+def test_merge_of_hashed_edges(spark):
+    bare = spark.createDataFrame([("calls", f"n{i % 23}", f"n{i * 7 % 19}", "exact") for i in range(300)], "kind string, from_id string, to_id string, confidence string").distinct()
+    g = bare.select(G.edge_id(*map(F.col, bare.columns)).alias("id"), "*")
+    nodes = spark.createDataFrame([(f"n{i}",) for i in range(20)], "id string")
+    first, second = g.where("substr(id, 1, 1) < '8'"), g.where("substr(id, 1, 1) >= '4'")
+    a, b = (G.merge(nodes.where("id < 'n5'"), first, nodes.where("id > 'n3'"), second, hashed=h) for h in (False, True))
+    for x, y in zip(a, b):
+        assert sorted(map(tuple, x.select(sorted(x.columns)).collect())) == sorted(map(tuple, y.select(sorted(x.columns)).collect()))
