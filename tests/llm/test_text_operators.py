@@ -218,3 +218,16 @@ def test_weights_follow_the_text():
     one, two = reading.Levels(chained, ratings).weights, reading.Levels(mixed, ratings).weights
     assert abs(sum(one) - 1) < 1e-9 and one[0] > 0.8 > two[0] and two[1] > one[1]
     assert reading.Levels(chained[:3], ratings[:3]).weights == reading.WEIGHTS
+
+
+def test_reading_counts_every_rated_document(spark):
+    import numpy as np
+
+    vocabulary = [f"word{chr(97 + i)}" for i in range(20)]
+    docs = [[[vocabulary[(i * 7 + j * (1 + i % 4)) % 20] for j in range(12)] for _ in range(3)] for i in range(3_100)]
+    schema = "sentences array<array<string>>, levels array<int>, held boolean"
+    models, scale = reading.trained(spark.createDataFrame([(d, [1 + i % 4], i % 5 == 0) for i, d in enumerate(docs)], schema).repartition(5))
+    here = reading.Levels(docs, [float(1 + i % 4) for i in range(len(docs))])
+    assert models.vocabulary == here.vocabulary and (models.codes == here.codes).all()
+    assert np.allclose(models.bigram, here.bigram) and np.allclose(models.weights, here.weights)
+    assert scale.border == pytest.approx(reading.Scale(here.read(docs)[2], [[1 + i % 4] for i in range(len(docs))]).border)
