@@ -185,3 +185,46 @@ def test_merge_of_hashed_edges(spark):
     a, b = (G.merge(nodes.where("id < 'n5'"), first, nodes.where("id > 'n3'"), second, hashed=h) for h in (False, True))
     for x, y in zip(a, b):
         assert sorted(map(tuple, x.select(sorted(x.columns)).collect())) == sorted(map(tuple, y.select(sorted(x.columns)).collect()))
+
+
+def _random(spark, n, m):
+    import random
+
+    r = random.Random(4)
+    return edges(spark, *((f"e{k}", "calls", f"n{r.randrange(n)}", f"n{r.randrange(n)}", r.choice(["exact", "resolved", "heuristic"])) for k in range(m)))
+
+
+def _no_edge_is_shuffled(monkeypatch, at_most):
+    """Has ``kept`` fail on what is larger than a result by nodes."""
+    kept = I.kept
+
+    def small(df):
+        out = kept(df)
+        assert out.count() <= at_most
+        return out
+
+    monkeypatch.setattr(I, "kept", small)
+
+
+def test_components_keep_no_more_than_pairs_by_node(spark, monkeypatch):
+    g = _random(spark, 60, 3000).union(edges(spark, ("x", "calls", "z1", "z2", "exact"), ("y", "calls", "z3", "z3", "exact"))).coalesce(2)
+    _no_edge_is_shuffled(monkeypatch, 2 * 62)
+    ids = [f"n{i}" for i in range(60)]
+    found = {r.id: r.component for r in I.components(nodes(spark, *ids, "z1", "z2", "z3"), g).collect()}
+    assert found == {i: "n0" for i in ids} | {"z1": "z1", "z2": "z1", "z3": "z3"}
+
+
+def test_spanning_connects_the_same_nodes_whatever_is_carried_on(spark):
+    g = _random(spark, 300, 200).select(F.col("from_id").alias("u"), F.col("to_id").alias("v"))
+
+    def parts(pairs):
+        up = {f"n{i}": f"n{i}" for i in range(300)}
+        top = lambda x: x if up[x] == x else top(up[x])
+        for u, v in pairs:
+            a, b = sorted((top(u), top(v)))
+            up[b] = a
+        return {i: top(i) for i in up}
+
+    rows = [tuple(r) for r in g.collect()]
+    for block, carried in ((1_000_000, 1_000_000), (7, 5), (50, 1)):
+        assert parts([tuple(r) for r in I.spanning(g, block, carried).collect()]) == parts(rows)
