@@ -228,3 +228,15 @@ def test_spanning_connects_the_same_nodes_whatever_is_carried_on(spark):
     rows = [tuple(r) for r in g.collect()]
     for block, carried in ((1_000_000, 1_000_000), (7, 5), (50, 1)):
         assert parts([tuple(r) for r in I.spanning(g, block, carried).collect()]) == parts(rows)
+
+
+def test_distances_keep_no_more_than_costs_by_node(spark, monkeypatch):
+    g = _random(spark, 60, 3000).coalesce(2)
+    near = {}
+    for r in g.collect():
+        near.setdefault(r.from_id, []).append((r.to_id, r.id, r.confidence))
+        near.setdefault(r.to_id, []).append((r.from_id, r.id, r.confidence))
+    _no_edge_is_shuffled(monkeypatch, 60)
+    wanted = {n: I.dijkstra(near, "n0", n) for n in near}
+    assert {r.node: r.d for r in I.distances(g, "n0").collect()} == pytest.approx(wanted)
+    assert {r.node: r.d for r in I.distances(g, "n0", most=7).collect()} == pytest.approx(wanted)
