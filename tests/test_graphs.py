@@ -240,3 +240,13 @@ def test_distances_keep_no_more_than_costs_by_node(spark, monkeypatch):
     wanted = {n: I.dijkstra(near, "n0", n) for n in near}
     assert {r.node: r.d for r in I.distances(g, "n0").collect()} == pytest.approx(wanted)
     assert {r.node: r.d for r in I.distances(g, "n0", most=7).collect()} == pytest.approx(wanted)
+
+
+def test_cycles_of_a_large_component_are_read_on_demand(spark, monkeypatch):
+    g = _random(spark, 60, 300).union(edges(spark, *((f"t{k}", "calls", a, b, "exact") for k, (a, b) in enumerate([("z1", "z2"), ("z2", "z1"), ("z2", "z2"), ("r", "n1"), ("n1", "s"), ("z2", None)])))).coalesce(2)
+    listed = lambda **how: sorted((r.component, r.cycle) for r in I.cycles(g, **how).collect())
+    every, some = listed(limit=None), listed(limit=5)
+    assert len(every) > 20 and [c for c in every if c[0] == "z1"] == [("z1", ["z1", "z2"]), ("z1", ["z2"])]
+    assert len(some) == 7 and set(map(repr, some)) <= set(map(repr, every))
+    _no_edge_is_shuffled(monkeypatch, 2 * 62)
+    assert listed(limit=5, group=10) == listed(limit=5, group=0) == some and listed(limit=1000, group=0) == every
