@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from lorespark.functions.text import trigrams, words
 from lorespark.operators.lexical import B, K1, TRIGRAM_WEIGHT, _of_query
-from lorespark.sources.shared import file_system, kept, looked_up, read_file, spread, write_by
+from lorespark.sources.shared import file_system, kept, looked_up, read_file, release, spread, write_by
 
 #: Words up to which a segment is small.
 SMALL = 200_000
@@ -107,10 +107,12 @@ class LexicalIndex:
         path = f"{self.root}/{segment}"
         counted = spread(fresh).select("id", "digest", words(F.col("text")).alias("w")).select("id", "digest", F.size("w").alias("len"), "w")
         counted.select("id", "digest", "len").write.parquet(f"{path}/documents")
+        release(self.spark)  # the texts are shuffled again for the postings
         plus = self._read("documents", [segment]).agg(F.count(F.lit(1)), F.coalesce(F.sum("len"), F.lit(0))).first()
         small = plus[1] < SMALL
         own = counted.select("id", "len", F.explode("w").alias("term")).groupBy("term", "id").agg(F.count(F.lit(1)).cast("int").alias("tf"), F.any_value("len").alias("len"))
         write_by(own, f"{path}/postings", "term", small=small)
+        release(self.spark)
         terms = self.spark.read.schema("term string").parquet(f"{path}/postings").select("term").distinct()
         write_by(terms.select(F.explode(trigrams(F.col("term"))).alias("gram"), "term"), f"{path}/grams", "gram", small=small)
         dead.select("id", F.col("own").alias("segment")).write.parquet(f"{path}/dead")

@@ -196,3 +196,12 @@ def test_overview(spark):
     assert rows(overview.status(files.where("path <> 'x'"), files.withColumn("source_id", F.lit("2")))) == {(False, 2, 0, 1, 1)}
     assert rows(overview.doctor({"good": nodes.where("false"), "bad": nodes, "so so": edges}, ("so so",))) == {("good", "pass", 0), ("bad", "fail", 3), ("so so", "warn", 3)}
     assert rows(overview.ambiguous_edges(edges).select("id")) == {("e2",)}
+
+
+def test_shuffle_files_are_released_between_the_parts_of_a_segment(spark, tmp_path, monkeypatch):
+    from lorespark.sources import lexical_index as L
+
+    seen = []
+    monkeypatch.setattr(L, "release", lambda _: seen.append(sorted(p.name for p in next(tmp_path.glob("segment-*")).iterdir())))
+    L.LexicalIndex(spark, str(tmp_path)).update(spark.createDataFrame([("1", "some words")], "id string, text string"))
+    assert seen == [["documents"], ["documents", "postings"]]
