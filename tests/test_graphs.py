@@ -250,3 +250,55 @@ def test_cycles_of_a_large_component_are_read_on_demand(spark, monkeypatch):
     assert len(some) == 7 and set(map(repr, some)) <= set(map(repr, every))
     _no_edge_is_shuffled(monkeypatch, 2 * 62)
     assert listed(limit=5, group=10) == listed(limit=5, group=0) == some and listed(limit=1000, group=0) == every
+
+
+def _by_label_sweeps(rows, sweeps=20):
+    near = {}
+    for r in sorted(rows, key=lambda r: (r.id, r.from_id, r.to_id)):
+        if r.from_id != r.to_id:
+            near.setdefault(r.from_id, []).append((r.to_id, G.WEIGHTS[r.confidence]))
+            near.setdefault(r.to_id, []).append((r.from_id, G.WEIGHTS[r.confidence]))
+    return I.label_sweeps(sorted(near), near, sweeps)
+
+
+@pytest.mark.parametrize("n, m", [(40, 90), (60, 600), (400, 700)])
+def test_communities_are_one_pass_over_files_and_no_group(spark, n, m):
+    g = _random(spark, n, m).union(edges(spark, ("x", "calls", "a", "no", "exact"))).coalesce(2)
+    hashed = g.withColumn("id", G.edge_id(*map(F.col, ("kind", "from_id", "to_id", "confidence"))))
+    all_nodes = nodes(spark, "a", *(f"n{i}" for i in range(n)))
+    for graph, how in ((g, {}), (hashed, {}), (hashed, {"hashed": True})):
+        wanted = {f"n{i}": f"n{i}" for i in range(n)} | {"a": "a"} | _by_label_sweeps(graph.where("to_id <> 'no'").collect())
+        for dense in (0, 30, 10**9):  # all at once, some, one by one
+            out = I.communities(all_nodes, graph, dense=dense, **how)
+            assert "FlatMapGroups" not in out._jdf.queryExecution().executedPlan().toString()
+            found = [tuple(r) for r in out.collect()]
+            assert len(found) == len(wanted) and dict(found) == wanted
+
+
+def test_labels_do_not_depend_on_blocks(tmp_path):
+    import random
+
+    import numpy as np
+    import pyarrow as pa
+
+    from lorespark.operators import labels as L
+
+    r = random.Random(8)
+    names = [f"{side}{i:03}" for side in "ab" for i in range(60)]
+    rows = [(r.randrange(60), 60 + r.randrange(60), r.randrange(6)) for _ in range(900)]  # runs of nodes without edges among them
+    near = {}
+    id_ = lambda a, b, c: L.sha256("\x00".join(("edge", "imports", names[a], names[b], L.LABELS[c])).encode()).hexdigest()
+    for a, b, c in sorted(rows, key=lambda x: (id_(*x), x)):
+        near.setdefault(names[a], []).append((names[b], G.WEIGHTS[L.LABELS[c]]))
+        near.setdefault(names[b], []).append((names[a], G.WEIGHTS[L.LABELS[c]]))
+    wanted = I.label_sweeps(sorted(near), near)
+    for block, dense in ((10**6, 1), (50, 1), (7, 100), (10**6, 10**6)):
+        at = tmp_path / f"{block}-{dense}"
+        at.mkdir()
+        work = L.Sweeps(pa.array(names), str(at), block, dense)
+        for k in range(0, len(rows), 100):
+            a, b, c = (np.array(x) for x in zip(*rows[k : k + 100]))
+            work.add(a, b, 6 * L.SEMANTIC.index("imports") + c, None)
+        work.arrange()
+        label = work.run(20)
+        assert {n: names[label[i]] for i, n in enumerate(names) if n in near} == wanted
