@@ -302,3 +302,14 @@ def test_labels_do_not_depend_on_blocks(tmp_path):
         work.arrange()
         label = work.run(20)
         assert {n: names[label[i]] for i, n in enumerate(names) if n in near} == wanted
+
+
+def test_two_cycles_shuffle_each_pair_once(spark, monkeypatch):
+    g = _random(spark, 40, 900).union(edges(spark, ("x", "calls", "a", None, "exact"), ("y", "calls", "a", "a", "exact")))
+    pairs = {(r.from_id, r.to_id) for r in g.collect() if r.to_id}
+    wanted = {(a, b) for a, b in pairs if a < b and (b, a) in pairs}
+    for sent in (G.SENT, 0):
+        monkeypatch.setattr(G, "SENT", sent)
+        out = G.two_cycles(g)
+        assert sorted(tuple(r) for r in out.collect()) == sorted(wanted) and wanted
+        assert out._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1].count("Exchange hashpartitioning") <= 1
