@@ -304,6 +304,58 @@ def test_labels_do_not_depend_on_blocks(tmp_path):
         assert {n: names[label[i]] for i, n in enumerate(names) if n in near} == wanted
 
 
+@pytest.mark.parametrize("own", [False, True])
+def test_edges_are_laid_out_as_they_come(tmp_path, own):
+    import random
+
+    import numpy as np
+    import pyarrow as pa
+
+    from lorespark.operators import labels as L
+
+    r = random.Random(9)
+    names = pa.array([f"n{i:02}" for i in range(50)])
+    rows = [(*r.sample(range(50), 2), r.randrange(6)) for _ in range(700)]
+    count = np.bincount([x for a, b, _ in rows for x in (a, b)], minlength=50)
+    ids = [f"{i * 7919 % 1000}" * (i > 200) * (i % 3) for i in range(700)] if own else None  # the first two blocks have none
+
+    def work(name, ends=None):
+        (tmp_path / name).mkdir()
+        out = L.Sweeps(names, str(tmp_path / name), 50, 30, ends)
+        for k in range(0, 700, 100):
+            some = ids[k : k + 100] if own else None
+            out.add(*(np.array(x) for x in zip(*rows[k : k + 100])), some if some and any(some) else None)
+        used = sum(f.stat().st_size for f in (tmp_path / name).iterdir())
+        out.arrange()
+        return out, used
+
+    first, _ = work("written")
+    assert [first.given(k) for k in range(1400)].count("") == 1400 - 2 * sum(map(bool, ids or []))
+    for name, ends in (("counted", count), ("more", count + np.arange(50) % 3)):
+        out, used = work(name, ends)
+        for x in ("other", "code", "start"):
+            assert getattr(out, x)[: len(getattr(first, x))].tolist() == getattr(first, x).tolist()
+        assert [out.given(k) for k in range(1400)] == [first.given(k) for k in range(1400)]
+        assert out.run(20).tolist() == first.run(20).tolist()
+        assert own or used <= 5 * ends.sum()  # nothing else is written
+    with pytest.raises(ValueError, match="more ends"):
+        work("fewer", count - (np.arange(50) == 7))
+
+
+def test_counted_ends():
+    import pyarrow as pa
+
+    from lorespark.operators import labels as L
+
+    batches = [pa.record_batch({"from_id": ["a", "b", "a"], "to_id": ["b", "c", "d"]}), pa.record_batch({"from_id": ["d"], "to_id": ["e"]})]
+    whole = lambda: {x["id"]: x["n"] for b in L.counted_ends(iter(batches)) for x in b.to_pylist()}
+    wanted = {"a": 2, "b": 2, "c": 1, "d": 2, "e": 1}
+    assert whole() == wanted
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(L, "BLOCK", 2)
+        assert whole() == wanted
+
+
 def test_two_cycles_shuffle_each_pair_once(spark, monkeypatch):
     g = _random(spark, 40, 900).union(edges(spark, ("x", "calls", "a", None, "exact"), ("y", "calls", "a", "a", "exact")))
     pairs = {(r.from_id, r.to_id) for r in g.collect() if r.to_id}
